@@ -5,6 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from loomline.operators import timestamps
+from loomline.session import table
+
+
+def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "ingested_docs")
+    pages = table(spark, sf_dir, "page_cache")
+    return timestamps.readable(
+        [
+            timestamps.stated_times(docs, "ingested_docs", "record_id", {"last_updated": "metadata.last_updated", "scraped_at": "metadata.scraped_at"}),
+            timestamps.stated_times(pages, "page_cache", "page_id", {"publication_date": "metadata.publication_date"}),
+        ]
+    )
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _times(spark, sf_dir).drop("status")
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _times(spark, sf_dir).groupBy("rec_table", "field", "status").agg(
+        F.count(F.lit(1)).alias("n"), F.min("utc").alias("first"), F.max("utc").alias("last")
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_report)}
 ORACLE: dict[str, str] = {}
