@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import repeats, residue
+from loomline.llm import budget, language, repeats, residue, splitting
 from loomline.session import table
 
 
@@ -38,8 +38,34 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "source", "text", "n_removed")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language.wrong_labels_and_foreign_lines(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+    return found.select("doc_id", "line_no", "lang")
+
+
+def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = splitting.oversized_pieces(table(spark, sf_dir, "chunks"))
+    return cut.where("piece = 1").select("chunk_id")  # an oversized item has a second piece, exactly once
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return splitting.rechunk(table(spark, sf_dir, "chunks"))
+
+
+def p6_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.token_budget(table(spark, sf_dir, "documents"))
+
+
+def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return budget.document_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_lines, p3_clean, p10_found, p10_report)
+    f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_lines, p3_clean, p4_found, p4_pieces, p6_budget, p6_tokens, p10_found, p10_report)
 }
 
 _P3_LINES = r"""
@@ -59,6 +85,7 @@ k AS (
 """
 
 ORACLE: dict[str, str] = {
+    "p4_found": "SELECT chunk_id FROM chunks WHERE length(trim(text, ' ' || chr(9) || chr(10) || chr(13))) > 500",
     "p3_found": f"WITH {_P3_LINES} SELECT l.doc_id, CAST(l.line_no AS BIGINT) AS line_no FROM l JOIN k ON l.source = k.source AND l.letters = k.letters",
     "p3_lines": f"""WITH {_P3_LINES}
 SELECT source, count(*) AS n_lines, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n_clusters) AS BIGINT) AS n_clusters,
