@@ -7,10 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import budget, language, repeats, residue, splitting
+from loomline.llm import boilerplate, budget, language, leakage, repeats, residue, splitting
 from loomline.session import table
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.max("run_words").alias("longest_run"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.detect(table(spark, sf_dir, "documents")).select("doc_id")
 
@@ -47,6 +56,27 @@ def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
 
 
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, cache = table(spark, sf_dir, "documents"), table(spark, sf_dir, "page_cache")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/:]+)", 1)
+    return boilerplate.pages_of(docs, "documents", "doc_id", "text", F.coalesce("source", host)).unionByName(
+        boilerplate.pages_of(cache, "page_cache", "page_id", "content", F.coalesce("metadata.source", host))
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.page_furniture(_pages(spark, sf_dir))
+
+
+def p2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = boilerplate.templates(boilerplate.infer_wrappers(_pages(spark, sf_dir)))
+    return found.select("host", F.size("tokens").alias("n_template_lines"))
+
+
+def p2_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boilerplate.main_content(_pages(spark, sf_dir))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = splitting.oversized_pieces(table(spark, sf_dir, "chunks"))
     return cut.where("piece = 1").select("chunk_id")  # an oversized item has a second piece, exactly once
@@ -65,7 +95,7 @@ def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_lines, p3_clean, p4_found, p4_pieces, p6_budget, p6_tokens, p10_found, p10_report)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_wrappers, p2_main, p3_found, p3_lines, p3_clean, p4_found, p4_pieces, p6_budget, p6_tokens, p9_found, p9_report, p10_found, p10_report)
 }
 
 _P3_LINES = r"""
