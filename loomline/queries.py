@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.operators import timestamps
+from loomline.operators import schema_drift, timestamps
 from loomline.session import table
 
 
@@ -32,5 +32,13 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_report)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.changes(table(spark, sf_dir, "raw_records")).select("file_name", "change", "field", "old_field")
+
+
+def p7_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_drift.consistent_table(table(spark, sf_dir, "raw_records"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_found, p5_report, p7_found, p7_table)}
 ORACLE: dict[str, str] = {}
