@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomline.llm import boilerplate, budget, language, leakage, repeats, residue, splitting
+from loomline.llm import boilerplate, budget, language, leakage, packing, repeats, residue, splitting
 from loomline.session import table
 
 
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -95,7 +103,7 @@ def p6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_wrappers, p2_main, p3_found, p3_lines, p3_clean, p4_found, p4_pieces, p6_budget, p6_tokens, p9_found, p9_report, p10_found, p10_report)
+    f.__name__: f for f in (p1_found, p1_languages, p2_found, p2_wrappers, p2_main, p3_found, p3_lines, p3_clean, p4_found, p4_pieces, p6_budget, p6_tokens, p8_packed, p8_fill, p9_found, p9_report, p10_found, p10_report)
 }
 
 _P3_LINES = r"""
