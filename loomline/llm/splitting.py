@@ -54,7 +54,7 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, fill: f
             levels[2].append(b)
         elif _CLAUSE_END.search(tail):
             levels[3].append(b)
-    out, s = [], starts[0]
+    out, s, reached = [], starts[0], 0
     while True:
         most = s + limit
         if last <= most:
@@ -63,21 +63,22 @@ def pieces(text: str | None, limit: int = LIMIT, overlap: int = OVERLAP, fill: f
         e = 0
         for array in levels:
             k = bisect_right(array, most) - 1
-            if k >= 0 and array[k] >= s + fill * limit:
+            if k >= 0 and array[k] >= s + fill * limit and array[k] > reached:
                 e = array[k]
                 break
         if not e:
             k = bisect_right(ends, most) - 1
-            if k >= 0 and ends[k] > s:
+            if k >= 0 and ends[k] > max(s, reached):
                 e = ends[k]
         if e:
             # the first token of the overlap; it lies after s, so that every piece moves on
-            k = bisect_left(starts, max(e - overlap, s + 1))
             out.append((s, e))
-            s = starts[k]
+            s, reached = starts[bisect_left(starts, max(e - overlap, s + 1))], e
+        elif s < (fresh := starts[bisect_right(ends, reached)]) and fresh >= reached:
+            s = fresh  # the overlap leaves no room for the next token
         else:  # a token longer than the limit
             out.append((s, most))
-            s = most - overlap
+            s, reached = most - overlap, most
 
 
 def trimmed_length(text: Column) -> Column:
@@ -118,7 +119,8 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
     the item. Blank items stay as they are, as one piece. Documents are the only groups.
     """
     whole = F.array(F.struct(F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end")))
-    cut = split_oversized(chunks, "text", limit, overlap).withColumn("pieces", F.coalesce("pieces", whole))
+    needed = chunks.select("chunk_id", "doc_id", "run_id", "text", "metadata")
+    cut = split_oversized(needed, "text", limit, overlap).withColumn("pieces", F.coalesce("pieces", whole))
     group = Window.partitionBy("doc_id", "run_id")
     before = group.orderBy("metadata.chunk_index", "chunk_id").rowsBetween(Window.unboundedPreceding, -1)
     numbered = cut.withColumn("n", F.size("pieces")).withColumns(
