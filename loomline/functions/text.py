@@ -256,9 +256,9 @@ def truncate(text: Column, limit: int = 3800, notice: str = "\n\n...(повід
 
 def escape_marks(text: Column) -> Column:
     """Lone underscores and asterisks, and brackets that are no link, escaped."""
-    out = F.regexp_replace(text, r"(?U)(?<!\w)_(?!\w)", r"\\\\_")
-    out = F.regexp_replace(out, r"(?<!\*)\*(?!\*)", r"\\\\*")
-    return F.regexp_replace(out, r"\[([^\]]*)\](?!\()", r"\\\\[$1\\\\]")
+    out = F.regexp_replace(text, r"(?U)(?<!\w)_(?!\w)", r"\\_")
+    out = F.regexp_replace(out, r"(?<!\*)\*(?!\*)", r"\\*")
+    return F.regexp_replace(out, r"\[([^\]]*)\](?!\()", r"\\[$1\\]")
 
 
 def space_emoji(text: Column) -> Column:

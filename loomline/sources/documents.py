@@ -22,7 +22,7 @@ _SCHEMA = "text string, " + ", ".join(f"{k} string" for k in KEYS)
 
 def _files(spark: SparkSession, path: str, kind: str, recursive: bool) -> DataFrame:
     files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", FORMATS[kind]).text(path)
+        spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", FORMATS[kind]).text(path, wholetext=True)
         .select("value", "_metadata.file_name", "_metadata.file_path", F.col("_metadata.file_modification_time").alias("modified"))
     )
     return files.where(~F.lower("file_name").isin(*SKIPPED[kind])) if SKIPPED[kind] else files
