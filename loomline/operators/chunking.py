@@ -137,21 +137,17 @@ def packed_chunks(text: Column, strategy: str, size: int = SIZE, overlap: int =
     return run(text)
 
 
-def chunks_of(text: Column, strategy: str = "sentence", size: int = SIZE, overlap: int = OVERLAP, keep_newlines: bool = False) -> Column:
-    """The chunks of a text after cleaning; ``keep_newlines`` leaves paragraphs intact, which cleaning else removes."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"strategy has to be one of {STRATEGIES}")
-    clean = F.trim(text) if keep_newlines else clean_text(text)
-    return fixed_chunks(clean, size, overlap) if strategy == "fixed" else packed_chunks(clean, strategy, size, overlap)
-
-
 def chunk_documents(docs: DataFrame, text: str = "text", strategy: str = "sentence", size: int = SIZE, overlap: int = OVERLAP, keep_newlines: bool = False) -> DataFrame:
     """One row a chunk: the other columns, text, chunk_index, total_chunks, start_char, end_char. Blank texts have none."""
     check(size, overlap)
     other = [c for c in docs.columns if c != text]
-    rows = docs if strategy == "fixed" else spread(docs)
-    cut = rows.withColumn("__chunks", chunks_of(F.col(text), strategy, size, overlap, keep_newlines))
-    out = cut.select(*other, F.size("__chunks").alias("total_chunks"), F.posexplode("__chunks").alias("chunk_index", "__c"))
+    if strategy not in STRATEGIES:
+        raise ValueError(f"strategy has to be one of {STRATEGIES}")
+    # a column of its own: inside the windows the cleaning would be done again for each of them
+    clean = spread(docs).withColumn("__clean", F.trim(text) if keep_newlines else clean_text(F.col(text)))
+    cut = clean.withColumn("__chunks", fixed_chunks(F.col("__clean"), size, overlap) if strategy == "fixed" else packed_chunks(F.col("__clean"), strategy, size, overlap))
+    # outer, as the inner form has the optimizer push a test of the chunks' number, and with it all the work, below the scan's filter
+    out = cut.select(*other, F.size("__chunks").alias("total_chunks"), F.posexplode_outer("__chunks").alias("chunk_index", "__c")).where("__c is not null")
     return out.select(*other, F.col("__c.text").alias(text), "chunk_index", "total_chunks", "__c.start_char", "__c.end_char")
 
 

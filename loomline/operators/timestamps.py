@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.zones import interval_table
+from loomline.session import spread
 
 #: Month names: nominative, genitive and short forms, from January on.
 MONTHS = {
@@ -86,8 +87,10 @@ def with_fields(df: DataFrame, value: str) -> DataFrame:
     hour = F.when(noon == "", hour).when(~hour.between(1, 12), None).when(noon == "A", hour % 12).otherwise(hour % 12 + 12)
     minute, second = F.expr("try_cast(__f[4] as int)"), F.coalesce(F.expr("try_cast(__f[5] as int)"), F.lit(0))
     clock = F.when((hour <= 23) & (minute <= 59) & (second <= 59), hour * 3600 + minute * 60 + second)
-    zone = F.upper(F.regexp_replace(f[7], r"^\[|\]$|(?<=\d)\[.*$", ""))
-    signed = F.regexp_replace(zone, r"^(?:UTC|GMT)(?=[+-])", "")
+    # columns of their own, so that each is worked out once
+    df = df.withColumn("__named", F.upper(F.regexp_replace(f[7], r"^\[|\]$|(?<=\d)\[.*$", "")))
+    df = df.withColumn("__signed", F.regexp_replace("__named", r"^(?:UTC|GMT)(?=[+-])", ""))
+    zone, signed = F.col("__named"), F.col("__signed")
     number = r"^([+-])(\d{1,2}?):?(\d{2})?$"
     size = F.regexp_extract(signed, number, 2).try_cast("int") * 3600 + F.coalesce(F.regexp_extract(signed, number, 3).try_cast("int"), F.lit(0)) * 60
     offset = F.when(signed.rlike(number) & (size <= 64800), F.when(signed.startswith("-"), -size).otherwise(size))
@@ -103,7 +106,7 @@ def with_fields(df: DataFrame, value: str) -> DataFrame:
             "__zone": F.when(zone == "", F.lit(DEFAULT_ZONE)).otherwise(F.try_element_at(_lookup(ZONES), zone)),
         }
     )
-    return df.drop("__tidy", "__f")
+    return df.drop("__tidy", "__f", "__named", "__signed")
 
 
 def _utc_text(second: Column) -> Column:
@@ -116,7 +119,7 @@ def _utc_text(second: Column) -> Column:
 def normalise(df: DataFrame, value: str, utc: str = "utc", status: str = "status") -> DataFrame:
     """Adds the UTC form and how it was found: date, epoch, fixed, direct, ambiguous, nonexistent, or null."""
     kept = df.columns
-    parsed = with_fields(df, value)
+    parsed = with_fields(spread(df), value)
     parsed = parsed.withColumn("__wall", F.datediff("__day", F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + F.col("__clock"))
     spans = interval_table(df.sparkSession, tuple(sorted({DEFAULT_ZONE, *ZONES.values()}))).select(
         F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans")

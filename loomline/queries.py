@@ -35,7 +35,7 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", T.clean_text(F.col("text")).alias("text"))
-    return docs.select("doc_id", F.posexplode(T.sentences(F.col("text"))).alias("n", "sentence"))
+    return docs.select("doc_id", F.posexplode_outer(T.sentences(F.col("text"))).alias("n", "sentence")).where("sentence is not null")
 
 
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,7 @@ def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = table(spark, sf_dir, "page_cache")
     kept = T.official_first(T.wanted_links(F.col("links"), F.col("url"), T.SKIP_LINKS_OFFICIAL, "visa"))
-    return cache.select("page_id", F.posexplode(kept).alias("n", "link")).select("page_id", "n", "link.text", "link.href", "link.is_official")
+    return cache.select("page_id", F.posexplode_outer(kept).alias("n", "link")).where("link is not null").select("page_id", "n", "link.text", "link.href", "link.is_official")
 
 
 def page_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

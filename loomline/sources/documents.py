@@ -41,7 +41,7 @@ def json_documents(files: DataFrame, as_of: str | None = None) -> DataFrame:
         F.concat(F.lit("["), whole, F.lit("]"))
     )
     readable = files.where(F.try_parse_json("value").isNotNull())
-    docs = readable.withColumn("doc", F.explode(F.from_json(listed, "array<string>")))
+    docs = readable.withColumn("doc", F.explode_outer(F.from_json(listed, "array<string>"))).where("doc is not null")
     return _documents(docs, as_of)
 
 

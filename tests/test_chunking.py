@@ -22,7 +22,7 @@ def test_bad_overlap(spark):
     with pytest.raises(ValueError):
         _chunks(spark, ["x"], size=100, overlap=100)
     with pytest.raises(ValueError):
-        C.chunks_of(None, "other")
+        _chunks(spark, ["x"], strategy="other")
 
 
 def test_sentences_stay_whole(spark):
