@@ -108,7 +108,8 @@ def oversized_pieces(chunks: DataFrame, id_col: str = "chunk_id", text: str = "t
     """(id, piece, start, end) of the items over the limit only; a map stage that reads two columns."""
     over = chunks.where((F.length(text) > limit) & (trimmed_length(F.col(text)) > limit)).select(F.col(id_col).alias("__id"), F.col(text).alias("__t"))
     cut = spread(over).select("__id", _udf(limit, overlap)("__t").alias("p"))
-    return cut.select(F.col("__id").alias(id_col), F.posexplode("p").alias("piece", "x")).select(id_col, "piece", "x.start", "x.end")
+    # outer, so that the optimizer does not repeat the cutting in a filter on the number of pieces
+    return cut.select(F.col("__id").alias(id_col), F.posexplode_outer("p").alias("piece", "x")).where("x is not null").select(id_col, "piece", "x.start", "x.end")
 
 
 def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
@@ -126,7 +127,7 @@ def rechunk(chunks: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> Da
     numbered = cut.withColumn("n", F.size("pieces")).withColumns(
         {"first": F.coalesce(F.sum("n").over(before), F.lit(0)), "total": F.sum("n").over(group)}
     )
-    out = numbered.select("*", F.posexplode("pieces").alias("k", "p"))
+    out = numbered.select("*", F.posexplode_outer("pieces").alias("k", "p"))
     cut_text = F.when(F.col("p.start").isNull(), F.col("text")).otherwise(F.expr("substring(text, p.start + 1, p.end - p.start)"))
     start = F.coalesce(F.col("metadata.start_char"), F.lit(0))
     new = {
