@@ -36,6 +36,10 @@ SHINGLE, PART = 12, 160
 PERMUTATIONS = 32
 #: A candidate needs this share of an item's shingles (exactly counted); a passage that barely counts has more.
 CONTAINED = 0.2
+#: A chain of exact stretches with a smaller share of an item's letters cannot hold SHARE of its words.
+LEAST_LETTERS = 0.15
+#: Letters of the documents looked at in one step.
+STEP_LETTERS = 2_000_000
 #: Items broadcast at once.
 BLOCK = 20_000
 #: Letters an exact stretch of the alignment has at least; mean letters of a word, to count added words.
@@ -126,10 +130,13 @@ class Item:
         if not blocks:
             return 0, 0
         # the chain of stretches, in order on both sides, with most letters; long gaps cost as much as they skip
+        reach = 2 * len(self.text)
         best, back = [float(n) for _, _, n in blocks], [-1] * len(blocks)
         for j, (a, p, n) in enumerate(blocks):
-            for i in range(j - 1, max(-1, j - 400), -1):
+            for i in range(j - 1, -1, -1):
                 b, q, m = blocks[i]
+                if p - q > reach:  # no run of few errors spans such a gap
+                    break
                 cut = max(b + m - a, q + m - p, 0)  # an overlap counts once
                 if b < a and q < p and cut < n:
                     gap = abs((a - b - m) - (p - q - m))
@@ -138,7 +145,9 @@ class Item:
                         best[j], back[j] = score, i
         longest = (0, 0)
         used: set[int] = set()
-        for j in sorted(range(len(blocks)), key=lambda j: -best[j])[:3]:
+        for j in sorted(range(len(blocks)), key=lambda j: -best[j]):
+            if best[j] < LEAST_LETTERS * len(self.text):
+                break
             chain = []
             while j >= 0 and j not in used:
                 chain.append(blocks[j])
@@ -303,12 +312,15 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
             for pdf in batches:
                 ids, texts = pdf["i"].tolist(), pdf["t"].tolist()
                 out = []
-                for k in range(0, len(ids), 500):  # bounds the arrays of one step, whatever the batch holds
-                    out += [
-                        (ids[k + d], key, c, n, e)
-                        for d, key, c, n, e, words in index.leaks(texts[k : k + 500])
-                        if n >= share * words
-                    ]
+                first = 0
+                while first < len(ids):  # bounds the arrays of one step, whatever the batch holds
+                    last, letters = first, 0
+                    while last < len(ids) and (last == first or letters + len(texts[last] or "") <= STEP_LETTERS):
+                        letters += len(texts[last] or "")
+                        last += 1
+                    found = index.leaks(texts[first:last])
+                    out += [(ids[first + d], key, c, n, e) for d, key, c, n, e, words in found if n >= share * words]
+                    first = last
                 yield pd.DataFrame(out, columns=["i", "item", "containment", "run_words", "errors"])
 
         return narrow.mapInPandas(run, schema)
