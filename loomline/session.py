@@ -48,8 +48,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a CPU-heavy map stage at least one task for each core.
 
     A small input comes as one or two file splits. Where splits already outnumber the
-    cores (any input of production size) the data is not moved at all.
+    cores (any input of production size) the data is not moved at all, nor behind a shuffle,
+    whose partitions are sized by the session.
     """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
