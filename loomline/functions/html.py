@@ -7,7 +7,7 @@ recovered as html.parser does it. A page that is null or blank has a null result
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -52,6 +52,17 @@ class Node:
                 stack += reversed(node.children)
         return "".join(out)
 
+    def raw_text(self) -> str:
+        """Every text node as it is, put together."""
+        out, stack = [], [self]
+        while stack:
+            node = stack.pop()
+            if isinstance(node, str):
+                out.append(node)
+            else:
+                stack += reversed(node.children)
+        return "".join(out)
+
     def has_class(self, name: str) -> bool:
         return name in self.attrs.get("class", "").split()
 
@@ -98,7 +109,11 @@ def parse(html: str) -> Node:
 
 @dataclass(frozen=True)
 class Profile:
-    """How a kind of page is read. Containers are tried in order; '.name' is a class, else a tag."""
+    """How a kind of page is read. Containers are tried in order; '.name' is a class, '#name' an id, else a tag.
+
+    ``whole_text`` takes all text of the container, line by line, instead of its paragraphs. ``letters`` makes
+    paragraphs of more than ``least_lettered`` characters with one of them the content if only the body is left.
+    """
 
     containers: tuple[str, ...] = ()
     dropped: tuple[str, ...] = ("script", "style", "nav", "footer", "header")
@@ -108,7 +123,9 @@ class Profile:
     title_suffix: str = ""
     untitled: str = "Untitled"
     least_content: int = 0
-    extra: dict = field(default_factory=dict, hash=False)
+    whole_text: bool = False
+    letters: str = ""
+    least_lettered: int = 50
 
 
 GENERIC = Profile()
@@ -118,12 +135,22 @@ OFFICIAL = Profile(
     phrases=("print this page", "is this page useful", "report a problem", "cookies on gov.uk"), title_suffix=" - GOV.UK",
 )
 #: The content containers of community pages.
-COMMUNITY = Profile(containers=(".entry-content", ".post-content", ".content", ".page-content", ".article-content", ".main-content", "article", "main", "body"), least_paragraph=21)
+_COMMUNITY_CONTAINERS = (".content", ".main-content", ".article-content", ".post-content", "#content", "#main-content", "article", "main", "body")
+_ASIDES = ("script", "style", "nav", "footer", "header", "aside", "iframe")
+COMMUNITY = Profile(containers=_COMMUNITY_CONTAINERS, dropped=_ASIDES, least_paragraph=21)
+#: The same pages read whole; pages of less than 100 characters are left out.
+COMMUNITY_WHOLE = Profile(containers=_COMMUNITY_CONTAINERS, dropped=_ASIDES, whole_text=True, letters="іїєґІЇЄҐ", least_content=100)
+OFFICIAL_WHOLE = Profile(containers=OFFICIAL.containers, dropped=_ASIDES, whole_text=True, title_suffix=OFFICIAL.title_suffix, least_content=100)
 
 
 def _container(root: Node, profile: Profile) -> Node:
     for name in profile.containers:
-        test = (lambda n, c=name[1:]: n.has_class(c)) if name.startswith(".") else (lambda n, t=name: n.tag == t)
+        if name.startswith("."):
+            test = lambda n, c=name[1:]: n.has_class(c)
+        elif name.startswith("#"):
+            test = lambda n, i=name[1:]: n.attrs.get("id") == i
+        else:
+            test = lambda n, t=name: n.tag == t
         found = next((n for n in root.walk() if test(n)), None)
         if found is not None:
             return found
@@ -153,6 +180,13 @@ def read_page(html: str | None, url: str | None = None, profile: Profile = GENER
             if items:
                 kept.append("\n".join(items))
     content = "\n\n".join(kept)
+    if profile.whole_text:
+        lettered = []
+        if profile.letters and main.tag in ("", "body"):
+            found = (p.raw_text().strip() for p in root.find_all("p"))
+            lettered = [t for t in found if len(t) > profile.least_lettered and any(c in t for c in profile.letters)]
+        whole = "\n\n".join(lettered) if lettered else main.raw_text()
+        content = "\n".join(line for line in map(str.strip, whole.splitlines()) if line)
     if len(content) < profile.least_content:
         return None
     links = []

@@ -62,6 +62,15 @@ def test_html():
     assert H.read_page(None) is None and H.read_page("  ") is None and H.read_page("<p>a<p>b")["content"] == "a\n\nb" and H.read_page("x")["title"] == "Untitled"
 
 
+def test_html_read_whole():
+    page = '<body><div class="x main-content"><p>One <b>two</b></p>\n\n three <aside>no</aside><p>' + "four " * 30 + '</p></div><p>outside</p></body>'
+    assert H.read_page(page, None, H.COMMUNITY_WHOLE)["content"] == "One two\nthree " + ("four " * 30).strip()
+    assert H.read_page('<div id="content">' + "a " * 60 + "</div><main>b</main>", None, H.COMMUNITY_WHOLE)["content"] == ("a " * 60).strip()
+    lettered = "<body>menu<p>short і</p><p>" + "їжа та дім " * 12 + "</p></body>"
+    assert H.read_page(lettered, None, H.COMMUNITY_WHOLE)["content"] == ("їжа та дім " * 12).strip()
+    assert H.read_page("<body>too short</body>", None, H.OFFICIAL_WHOLE) is None
+
+
 def test_html_column(spark):
     df = spark.createDataFrame([(1, PAGE), (2, None), (3, "")], "k int, html string")
     rows = {r.k: r.p for r in df.select("k", H.page(F.col("html")).alias("p")).collect()}
