@@ -7,8 +7,9 @@ before MinHash is used: an item becomes overlapping parts of about the smallest
 be found, a document becomes overlapping windows of twice that size (a short document is one
 window of its own size). A part contained in a window then has a Jaccard similarity far from
 0 whatever the document's length, and ``PERMUTATIONS`` minima find it: a window is a
-candidate for an item if they share at least one minimum. Candidates are verified by exact
-shingle containment, and what remains by aligning the item's words with the document.
+candidate for an item if they share at least one minimum. Candidates that share fewer shingles
+than the worst passage that counts (``least_left``) are dropped, as they can hold none; the
+rest is decided by aligning the item's words with the document.
 
 The items are broadcast in blocks of at most ``BLOCK`` items, so what is broadcast is
 bounded; the documents are read once a block in one map stage, without a shuffle. Null and
@@ -17,6 +18,7 @@ empty documents and items have no rows; repeated documents have repeated results
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -34,10 +36,6 @@ SHARE, WORDS_AN_ERROR = 0.4, 8
 #: Letters of a shingle; letters of an item part and of a document block (a window is two blocks).
 SHINGLE, PART = 12, 160
 PERMUTATIONS = 32
-#: A candidate needs this share of an item's shingles (exactly counted); a passage that barely counts has more.
-CONTAINED = 0.2
-#: A chain of exact stretches with a smaller share of an item's letters cannot hold SHARE of its words.
-LEAST_LETTERS = 0.15
 #: Letters of the documents looked at in one step.
 STEP_LETTERS = 2_000_000
 #: Items broadcast at once.
@@ -95,10 +93,24 @@ def _minima(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_left(lengths: list[int], share: float) -> tuple[int, int]:
+    """(shingles, letters) that at least stay exact in a passage that counts: the shortest run of each number of words, the longest words changed."""
+    n_words = len(lengths)
+    ends, longest = np.concatenate([[0], np.cumsum(lengths)]), np.concatenate([[0], np.cumsum(sorted(lengths, reverse=True))])
+    shingles, letters = int(ends[-1]), int(ends[-1])
+    for n in range(max(1, math.ceil(share * n_words - 1e-9)), n_words + 1):
+        errors = n // WORDS_AN_ERROR
+        left = int((ends[n:] - ends[:-n]).min() - longest[errors])
+        letters = min(letters, left)
+        # an error breaks the shingles that touch its word
+        shingles = min(shingles, left - (errors + 1) * (SHINGLE - 1))
+    return shingles, letters
+
+
 class Item:
     """A test item prepared for the alignment."""
 
-    def __init__(self, key, text: str):
+    def __init__(self, key, text: str, share: float = SHARE):
         self.key, parts = key, [fold(w) for w in _WORD.findall(text)]
         parts = [p for p in parts if p]
         self.text = "".join(parts)
@@ -107,7 +119,10 @@ class Item:
         self.seeds: dict[str, list[int]] = {}
         for k in range(len(self.text) - SEED + 1):
             self.seeds.setdefault(self.text[k : k + SEED], []).append(k)
-        self.hashes = np.unique(shingle_hashes(np.frombuffer(self.text.encode("utf-32-le"), np.uint32)))
+        every = shingle_hashes(np.frombuffer(self.text.encode("utf-32-le"), np.uint32))
+        self.hashes = np.unique(every)
+        shingles, self.least_letters = least_left([len(p) for p in parts], share)
+        self.least_shingles = shingles - (len(every) - len(self.hashes))  # repeated ones count once
 
     def stretches(self, doc: str) -> list[tuple[int, int, int]]:
         """(item start, document start, length) of the maximal exact stretches of at least SEED letters."""
@@ -131,7 +146,7 @@ class Item:
             return 0, 0
         # the chain of stretches, in order on both sides, with most letters; long gaps cost as much as they skip
         reach = 2 * len(self.text)
-        best, back = [float(n) for _, _, n in blocks], [-1] * len(blocks)
+        best, back, letters = [float(n) for _, _, n in blocks], [-1] * len(blocks), [n for _, _, n in blocks]
         for j, (a, p, n) in enumerate(blocks):
             for i in range(j - 1, -1, -1):
                 b, q, m = blocks[i]
@@ -142,12 +157,12 @@ class Item:
                     gap = abs((a - b - m) - (p - q - m))
                     score = best[i] + n - cut - 0.5 * gap - 0.1 * max(0, p - q - m)
                     if score > best[j]:
-                        best[j], back[j] = score, i
+                        best[j], back[j], letters[j] = score, i, letters[i] + n - cut
         longest = (0, 0)
         used: set[int] = set()
         for j in sorted(range(len(blocks)), key=lambda j: -best[j]):
-            if best[j] < LEAST_LETTERS * len(self.text):
-                break
+            if letters[j] < self.least_letters:
+                continue
             chain = []
             while j >= 0 and j not in used:
                 chain.append(blocks[j])
@@ -213,8 +228,8 @@ class Item:
 class Index:
     """Minima of the parts of a block of items, and the items."""
 
-    def __init__(self, rows: list[tuple]):
-        self.items = [item for item in (Item(k, t) for k, t in rows) if len(item.text) >= SHINGLE]
+    def __init__(self, rows: list[tuple], share: float = SHARE):
+        self.items = [item for item in (Item(k, t, share) for k, t in rows) if len(item.text) >= SHINGLE]
         minima: list[list[tuple[int, int]]] = [[] for _ in range(PERMUTATIONS)]
         for number, item in enumerate(self.items):
             hashes = shingle_hashes(np.frombuffer(item.text.encode("utf-32-le"), np.uint32))
@@ -272,23 +287,23 @@ class Index:
             if of != d:
                 of, own = d, np.sort(all_hashes[slice(*per_doc[d])])
             at = np.minimum(np.searchsorted(own, item.hashes), len(own) - 1)
-            contained = np.count_nonzero(own[at] == item.hashes) / len(item.hashes)
-            if contained < CONTAINED:
+            shared = np.count_nonzero(own[at] == item.hashes)
+            if shared < item.least_shingles:
                 continue
             if d not in folded:
                 folded[d] = fold(texts[d])
             n, errors = item.best_run(folded[d])
-            out.append((d, item.key, float(contained), n, errors, len(item.spans)))
+            out.append((d, item.key, shared / len(item.hashes), n, errors, len(item.spans)))
         return out
 
 
 _made: dict[int, Index] = {}
 
 
-def _index(number: int, rows: list[tuple]) -> Index:
-    key = hash((number, len(rows), rows[0], rows[-1]))
+def _index(number: int, rows: list[tuple], share: float) -> Index:
+    key = hash((number, len(rows), rows[0], rows[-1], share))
     if key not in _made:
-        _made[key] = Index(rows)
+        _made[key] = Index(rows, share)
     return _made[key]
 
 
@@ -308,7 +323,7 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str =
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = _index(number, shared.value)
+            index = _index(number, shared.value, share)
             for pdf in batches:
                 ids, texts = pdf["i"].tolist(), pdf["t"].tolist()
                 out = []

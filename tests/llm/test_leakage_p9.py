@@ -73,3 +73,25 @@ def test_blocks_of_items_give_the_same(spark, monkeypatch):
     whole = sorted((r.doc_id, r.item_id) for r in L.leaks(docs, table).collect())
     monkeypatch.setattr(L, "BLOCK", 3)
     assert sorted((r.doc_id, r.item_id) for r in L.leaks(docs, table).collect()) == whole == [(k, k) for k in range(8)]
+
+
+def test_passages_that_barely_count_with_all_their_errors():
+    rng = random.Random(8)
+    items = [(k, " ".join(rng.choice(VOCABULARY if rng.random() < 0.6 else ["also", "the", "for", "week"]) for _ in range(rng.randint(45, 95)))) for k in range(60)]
+    texts = []
+    for _, text in items:
+        words = text.split()
+        n = -(-2 * len(words) // 5)
+        start = rng.randint(0, len(words) - n)
+        part = words[start : start + n]
+        for k in range(n // 8):
+            part[8 * k + 4] = "zqxj"
+        texts.append("school form week " + " ".join(part) + " letter bank")
+    index = L.Index(items)
+    found = {(d, item) for d, item, _, n, _, words in index.leaks(texts) if n >= L.SHARE * words}
+    assert {(d, item) for d, (item, _) in enumerate(items)} <= found
+
+
+def test_least_left_is_a_lower_bound():
+    assert L.least_left([4] * 20, 0.4) == (32 - 4 - 22, 28)  # eight words, one of them changed
+    assert L.least_left([6, 6], 1.0) == (1, 12)
