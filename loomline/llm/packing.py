@@ -34,8 +34,8 @@ from loomline.session import checkpointed, spread
 CAPACITY = 4096
 #: Documents of a shard.
 SHARD = 2000
-#: BM25 parameters; terms of a seed that are looked up, the rarest first.
-K1, B, QUERY_TERMS = 1.2, 0.75, 48
+#: BM25 parameters.
+K1, B = 1.2, 0.75
 #: Containers filled less are packed again.
 FULL = 0.97
 _LETTERS = re.compile(r"[^\W\d_]")
@@ -63,10 +63,8 @@ class Shard:
         self.numbers = [number[bounds[k] : bounds[k + 1]] for k in range(n)]
 
     def scores(self, item: int) -> np.ndarray:
-        """BM25 of every item for the rarest terms of one."""
+        """BM25 of every item for the terms of one."""
         own = self.numbers[item]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-self.idf[own], QUERY_TERMS)[:QUERY_TERMS]]
         if not len(own):
             return np.zeros(len(self.sizes))
         spans = [slice(self.starts[t], self.starts[t + 1]) for t in own]

@@ -75,3 +75,22 @@ def test_neighbours_share_containers():
     terms = [np.array([1, 2, 3]), np.array([7, 8, 9])] * 4
     shard = packing.Shard(np.array([25] * 8), terms, [np.ones(3, int)] * 8)
     assert {frozenset(w) for w in shard.pack(100)} == {frozenset({0, 2, 4, 6}), frozenset({1, 3, 5, 7})}
+
+
+def test_all_terms_of_a_seed_count():
+    import numpy as np
+
+    # the seed shares only common terms with its neighbour; the 60 rarer ones are in no other item
+    terms = [np.array([*range(1, 4), *range(100, 160)]), np.array([7, 8, 9, 10]), np.array([1, 2, 3, 10])]
+    shard = packing.Shard(np.array([60, 40, 40]), terms, [np.ones(len(t), int) for t in terms])
+    score = shard.scores(0)
+    assert score[1] == 0 < score[2]
+    for item in (0, 1, 2):  # the formula, term by term
+        lengths = [len(t) for t in terms]
+        want = 0.0
+        for t in set(terms[0].tolist()) & set(terms[item].tolist()):
+            f = sum(t in x for x in terms)
+            idf = np.log1p((3 - f + 0.5) / (f + 0.5))
+            want += idf * 2.2 / (1 + 1.2 * (0.25 + 0.75 * lengths[item] / np.mean(lengths)))
+        assert np.isclose(score[item], want)
+    assert [0, 2] in shard.pack(100)
