@@ -4,7 +4,8 @@ Union-free regular-expression inference. Pages of one host are streams of line t
 line with its digits, host names, bullets and spacing generalised). A host's wrapper is a
 sequence of such tokens; each page is aligned with it: tokens met in order are template,
 tokens only one side has become optional nodes, tokens met again within a page make a node
-repeated, and lines nothing is aligned with are text slots. Nodes that stay below the
+repeated, title slots met again behind a token make it the head of a group, and lines nothing
+is aligned with are text slots. Nodes that stay below the
 support a template needs fall back into text slots, by lossy counting: no node above the
 support is ever lost, and a wrapper stays small whatever the number of pages.
 
@@ -13,8 +14,10 @@ over (host, salt) groups of bounded size, each group gives a partial wrapper, an
 wrappers are merged ``FAN`` at a time. Only line hashes are shuffled, no text. All pages are
 used; a host with a third of them is many groups.
 
-To extract, each line of a page is matched with its host's wrapper: template lines are
-furniture, text slots the page's own content. Slots the alignment cannot settle, because
+To extract, each line of a page is looked up among its host's template lines, whatever its
+place: the order is inferred, but pages depart from it (README), so it does not decide. Template
+lines are furniture, so are the titles behind the head of a group; text slots are the page's own
+content. Slots the template cannot settle, because
 they are rare on every host, are settled by their form: breadcrumbs, tag lists, controls
 (print, skip, paging, adverts, feedback), and the links of a related-pages group, which is
 a repeated group of title slots behind its header.
@@ -42,6 +45,8 @@ from loomline.session import checkpointed, spread
 SUPPORT, LEAST_PAGES = 0.08, 3
 #: Lossy counting: counts are short by this share of the pages at most.
 ERROR = 0.02
+#: A template line heads a group of titles if two or more stand behind it, each after a bullet, on this share of its pages.
+HEADS = 0.75
 #: Pages of an inference group; partial wrappers merged at a time.
 GROUP, FAN = 512, 32
 #: Lines longer than this are text, never template.
@@ -52,6 +57,8 @@ LONGEST_CONTROL = 90
 MOST_BROADCAST = 2_000_000
 
 _HOSTS = re.compile(r"(?:https?://)?(?:www\.)?[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}(?:/\S*)?")
+#: The same for long lines, in one pass over what has no spaces.
+_HOSTS_LONG = re.compile(r"(?<![\w\-.])" + _HOSTS.pattern)
 _LEAD = re.compile(r"[^\w#©]+")
 _DOTTED = re.compile(r"\.[a-z]{2}")
 _INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
@@ -64,7 +71,7 @@ def token(line: str, host: str | None) -> str:
     if host and host in low:
         low = low.replace(host, " ~ ")
     if _DOTTED.search(low):
-        low = _HOSTS.sub(" ~ ", low)
+        low = (_HOSTS if len(low) <= LONGEST else _HOSTS_LONG).sub(" ~ ", low)
     low = _DIGITS.sub("#", low)
     m = _LEAD.match(low)
     if m:
@@ -79,15 +86,17 @@ def token_hash(form: str) -> int:
 
 
 def stream(text: str, host: str | None) -> list[int]:
-    """The token hashes of a page; 0 stands for lines that can only be text."""
+    """The token hashes of a page; a 0 in front of one marks a title behind a bullet."""
     host = host.lower() if host else None
     out, forms = [], _forms
     for line in text.split("\n"):
-        if len(line) > LONGEST:
-            out.append(0)
-        elif line and not line.isspace():
+        if line and not line.isspace():
             form = token(line, host)
             if form:
+                if len(form) > LONGEST:
+                    continue
+                if line.lstrip()[0] in _BULLETS and _is_title(line, form):
+                    out.append(0)
                 out.append((forms.get(form) or _look_up(form))[0])
     return out
 
@@ -128,32 +137,34 @@ def _increasing(values: list[float]) -> list[int]:
 
 
 class Wrapper:
-    """Nodes by token: [pages, pages with repeats, rank in the sequence, pages out of order, pages with text behind, slack]."""
+    """Nodes by token: [pages, pages with repeats, rank in the sequence, pages out of order, pages with a group of titles behind, slack]."""
 
     def __init__(self):
         self.pages = 0
         self.nodes: dict[int, list] = {}
-        self.lead_text = 0
         self._due = max(1, math.ceil(1 / ERROR))
 
     def align_page(self, tokens: list[int]) -> None:
         """Align one page and resolve the mismatches."""
         counts: dict[int, int] = {}
         order: list[int] = []
-        text_behind: set[int] = set()
-        last = None
+        heads: set[int] = set()
+        head, titles, marked = None, 0, False
         for t in tokens:
             if t == 0:
-                if last is None:
-                    self.lead_text += 1
-                else:
-                    text_behind.add(last)
+                marked = True
                 continue
             counts[t] = counts.get(t, 0) + 1
             if counts[t] == 1:
                 order.append(t)
-            last = t
-        self._align(order, {t: (1, int(n > 1), 0, int(t in text_behind), 0) for t, n in counts.items()}, 1)
+            if marked:
+                titles += 1
+                if titles == 2 and head is not None:
+                    heads.add(head)
+            else:
+                head, titles = t, 0
+            marked = False
+        self._align(order, {t: (1, int(n > 1), 0, int(t in heads), 0) for t, n in counts.items()}, 1)
 
     def merge(self, other: Wrapper) -> None:
         """Align another wrapper, node by node."""
@@ -161,7 +172,6 @@ class Wrapper:
         gain = {t: (n[0], n[1], n[3], n[4], n[5]) for t, n in other.nodes.items()}
         # a node the other side dropped earlier may have been short by its slack
         self._align(order, gain, other.pages, math.floor(ERROR * other.pages))
-        self.lead_text += other.lead_text
 
     def _align(self, order: list[int], gain: dict[int, tuple], pages: int, missing: int = 0) -> None:
         known = [t for t in order if t in self.nodes]
@@ -172,13 +182,13 @@ class Wrapper:
         rank, step = (ranks[0] - 1.0 if ranks else 0.0), 0
         fresh: list[tuple[int, list]] = []
         for t in order:
-            n, repeats, crossed, text, short = gain[t]
+            n, repeats, crossed, behind, short = gain[t]
             if t in seen:
                 node = self.nodes[t]
                 node[0] += n
                 node[1] += repeats
                 node[3] += crossed + (0 if t in kept else n)
-                node[4] += text
+                node[4] += behind
                 node[5] += short
                 if t in kept:
                     rank, step = node[2], 0
@@ -186,7 +196,7 @@ class Wrapper:
                 step += 1
                 j = bisect_left(ranks, rank + 1e-12)
                 room = (ranks[j] - rank) if j < len(ranks) else 1.0
-                fresh.append((t, [n, repeats, rank + room * step / (step + 1.0) if room > 0 else rank, crossed, text, short + slack]))
+                fresh.append((t, [n, repeats, rank + room * step / (step + 1.0) if room > 0 else rank, crossed, behind, short + slack]))
         if missing:
             for t, node in self.nodes.items():
                 if t not in gain:
@@ -209,13 +219,17 @@ class Wrapper:
         found = [t for t, n in self.nodes.items() if n[0] >= least and n[0] + n[5] >= support * self.pages and n[0] >= 0.75 * support * self.pages]
         return sorted(found, key=lambda t: self.nodes[t][2])
 
-    def dump(self) -> tuple[int, int, list[tuple]]:
-        return self.pages, self.lead_text, [(t, n[0], n[1], float(n[2]), n[3], n[4], n[5]) for t, n in self.nodes.items()]
+    def group_heads(self) -> list[int]:
+        """The tokens of the template that head a repeated group of titles."""
+        return [t for t in self.template() if self.nodes[t][4] >= HEADS * self.nodes[t][0]]
+
+    def dump(self) -> tuple[int, list[tuple]]:
+        return self.pages, [(t, n[0], n[1], float(n[2]), n[3], n[4], n[5]) for t, n in self.nodes.items()]
 
     @staticmethod
-    def load(pages: int, lead_text: int, nodes) -> Wrapper:
+    def load(pages: int, nodes) -> Wrapper:
         out = Wrapper()
-        out.pages, out.lead_text = int(pages), int(lead_text)
+        out.pages = int(pages)
         out.nodes = {int(n["t"]): [int(n["n"]), int(n["repeats"]), float(n["rank"]), int(n["crossed"]), int(n["behind"]), int(n["short"])] for n in nodes}
         out._due = out.pages + max(1, math.ceil(1 / ERROR))
         return out
@@ -226,8 +240,8 @@ _FIELDS = ("t", "n", "repeats", "rank", "crossed", "behind", "short")
 
 
 def _row(host: str, salt: int, wrapper: Wrapper) -> pd.DataFrame:
-    pages, lead, nodes = wrapper.dump()
-    return pd.DataFrame({"host": [str(host)], "salt": [salt], "pages": [pages], "lead_text": [lead], "nodes": [[dict(zip(_FIELDS, n)) for n in nodes]]})
+    pages, nodes = wrapper.dump()
+    return pd.DataFrame({"host": [str(host)], "salt": [salt], "pages": [pages], "nodes": [[dict(zip(_FIELDS, n)) for n in nodes]]})
 
 
 def pages_of(table: DataFrame, rec_table: str, id_col: str, text: str, host) -> DataFrame:
@@ -238,7 +252,7 @@ def pages_of(table: DataFrame, rec_table: str, id_col: str, text: str, host) ->
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, lead_text, nodes): one wrapper a host, from all its pages."""
+    """(host, pages, nodes): one wrapper a host, from all its pages."""
     sizes = pages.groupBy("host").count().where(F.col("count") > GROUP)
     # one number to the driver: how often partial wrappers have to be merged
     largest = sizes.agg(F.max("count")).collect()[0][0] or 0
@@ -268,14 +282,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
         for row in pdf.sort_values("salt").itertuples():
-            part = Wrapper.load(row.pages, row.lead_text, row.nodes)
+            part = Wrapper.load(row.pages, row.nodes)
             if wrapper is None:
                 wrapper = part
             else:
                 wrapper.merge(part)
         return _row(key[0], int(key[1]), wrapper)
 
-    schema = f"host string, salt int, pages int, lead_text int, nodes {_NODES}"
+    schema = f"host string, salt int, pages int, nodes {_NODES}"
     wrappers = lines.groupBy("host", "salt").applyInPandas(infer, schema)
     groups = math.ceil(largest / GROUP)
     while groups > 1:
@@ -285,14 +299,14 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def templates(wrappers: DataFrame) -> DataFrame:
-    """(host, tokens): the template tokens of each wrapper in order."""
+    """(host, tokens, heads): the template tokens of each wrapper in order, and those that head a group of titles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [Wrapper.load(r.pages, r.lead_text, r.nodes).template() for r in pdf.itertuples()]
-            yield pd.DataFrame({"host": pdf["host"], "tokens": found})
+            found = [Wrapper.load(r.pages, r.nodes) for r in pdf.itertuples()]
+            yield pd.DataFrame({"host": pdf["host"], "tokens": [w.template() for w in found], "heads": [w.group_heads() for w in found]})
 
-    return wrappers.mapInPandas(run, "host string, tokens array<bigint>")
+    return wrappers.mapInPandas(run, "host string, tokens array<bigint>, heads array<bigint>")
 
 
 # Slots that are rare on every host, by their form. The words are those of site controls.
@@ -322,10 +336,15 @@ _RELATED = re.compile(
 )
 _MARKS = " \t›»→•*·-–—>#"
 _BULLET = re.compile(r"\s*([›»→•*·\-–—>▪‣]*)\s*")
+_BULLETS = frozenset("›»→•*·-–—>▪‣")
 _ENDS_SENTENCE = re.compile(r"[.;!?…:,]\s*$")
 
 
-def furniture_lines(text: str, host: str | None, template) -> list[int]:
+def _is_title(line: str, form: str) -> bool:
+    return len(form) <= 160 and not _ENDS_SENTENCE.search(line)
+
+
+def furniture_lines(text: str, host: str | None, template, heads=frozenset()) -> list[int]:
     """The numbers of the non-empty lines that are not the page's own content."""
     low_host = host.lower() if host else None
     out: list[int] = []
@@ -333,12 +352,12 @@ def furniture_lines(text: str, host: str | None, template) -> list[int]:
     for k, line in enumerate(text.split("\n")):
         if not line or line.isspace():
             continue
-        if len(line) > LONGEST:
-            group = None
-            continue
         form = token(line, low_host)
         if not form:
             continue
+        if len(form) > LONGEST:
+            group = None
+            continue
         known, kind = _forms.get(form) or _look_up(form)
         if kind == _IS_RELATED:
             out.append(k)
@@ -346,7 +365,7 @@ def furniture_lines(text: str, host: str | None, template) -> list[int]:
             continue
         if kind == _IS_CONTROL or known in template or ":" in line and _TAGS.match(line.lstrip(_MARKS)):
             out.append(k)
-            group = None
+            group = "bulleted" if known in heads else None
             continue
         crumbs = len(_CRUMB.findall(line)) if any(x in line for x in "›»>→/") else 0
         if crumbs >= 2 or crumbs == 1 and _HOME.match(line.lstrip(_MARKS)):
@@ -355,7 +374,7 @@ def furniture_lines(text: str, host: str | None, template) -> list[int]:
             continue
         if group is not None:
             bullet = _BULLET.match(line)[1]
-            if not _ENDS_SENTENCE.search(line) and len(form) <= 160 and (group == "" or bullet == group or group == "none" and not bullet):
+            if _is_title(line, form) and (group == "" or bullet == group or group == "none" and not bullet or group == "bulleted" and bullet):
                 out.append(k)
                 group = bullet or "none"
                 continue
@@ -377,21 +396,21 @@ def page_furniture(pages: DataFrame, wrappers: DataFrame | None = None, skip_res
         out = []
         for rec_table, rec_id, host, text, own in zip(pdf["rec_table"], pdf["rec_id"], pdf["host"], pdf["text"], of(pdf)):
             if text and not (rec_table in skip_residue_of and is_residue(text)):
-                out += [(rec_table, rec_id, k) for k in furniture_lines(text, host, own)]
+                out += [(rec_table, rec_id, k) for k in furniture_lines(text, host, *own)]
         return pd.DataFrame(out, columns=["rec_table", "rec_id", "line_no"])
 
     if nodes <= MOST_BROADCAST:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: frozenset(r.tokens) for r in known.toLocalIterator()})
+        shared = pages.sparkSession.sparkContext.broadcast({r.host: (frozenset(r.tokens), frozenset(r.heads)) for r in known.toLocalIterator()})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                yield found(pdf, lambda p: (shared.value.get(h, frozenset()) for h in p["host"]))
+                yield found(pdf, lambda p: (shared.value.get(h, ()) or (frozenset(),) for h in p["host"]))
 
         return spread_pages.mapInPandas(run, schema)
 
     def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield found(pdf, lambda p: (frozenset(t) if t is not None else frozenset() for t in p["tokens"]))
+            yield found(pdf, lambda p: ((frozenset(t), frozenset(h)) if t is not None else (frozenset(),) for t, h in zip(p["tokens"], p["heads"])))
 
     return spread_pages.join(known, "host", "left").mapInPandas(run_joined, schema)
 

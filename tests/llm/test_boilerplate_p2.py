@@ -97,3 +97,20 @@ def test_found_over_salted_groups(spark, monkeypatch):
     assert clean["documents", 7] == ("\n".join(text.split("\n")[n] for n in own), len(text.split("\n")) - len(own))
     assert clean["documents", 900] == (None, 0)
     assert B.page_furniture(pages.limit(0)).count() == 0
+
+
+def test_titles_behind_a_learned_head_are_furniture():
+    host, rng, w, pages = "four.example", random.Random(6), B.Wrapper(), []
+    for n in range(60):
+        lines = [NAV, "What to bring", "• " + " ".join(rng.choice(WORDS) for _ in range(6)) + ".", "• a copy of the letter;", f"All about {rng.choice(WORDS)} {rng.choice(WORDS)}."]
+        lines += ["From our other desks"] + [f"› {rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)}" for _ in range(3)]
+        pages.append("\n".join(lines))
+        w.align_page(B.stream(pages[-1], host))
+    half = B.Wrapper()
+    half.merge(B.Wrapper.load(w.dump()[0], [dict(zip(B._FIELDS, n)) for n in w.dump()[1]]))
+    for wrapper in (w, half):
+        heads = frozenset(wrapper.group_heads())
+        assert heads == {B.token_hash("from our other desks")}
+        for text in pages:
+            assert {5, 6, 7, 8} <= set(B.furniture_lines(text, host, frozenset(wrapper.template()), heads))
+            assert 2 not in B.furniture_lines(text, host, frozenset(wrapper.template()), heads)
