@@ -49,7 +49,7 @@ ERROR = 0.02
 HEADS = 0.75
 #: Pages of an inference group; partial wrappers merged at a time.
 GROUP, FAN = 512, 32
-#: Lines longer than this are text, never template.
+#: Longer lines are hashed like any other, but not kept in memory by their form.
 LONGEST = 300
 #: Site controls are no longer than this.
 LONGEST_CONTROL = 90
@@ -94,6 +94,7 @@ def stream(text: str, host: str | None) -> list[int]:
             form = token(line, host)
             if form:
                 if len(form) > LONGEST:
+                    out.append(token_hash(form))
                     continue
                 if line.lstrip()[0] in _BULLETS and _is_title(line, form):
                     out.append(0)
@@ -355,7 +356,9 @@ def furniture_lines(text: str, host: str | None, template, heads=frozenset()) ->
         form = token(line, low_host)
         if not form:
             continue
-        if len(form) > LONGEST:
+        if len(form) > LONGEST:  # template or text, no form of a control
+            if template and token_hash(form) in template:
+                out.append(k)
             group = None
             continue
         known, kind = _forms.get(form) or _look_up(form)

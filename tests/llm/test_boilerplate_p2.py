@@ -114,3 +114,21 @@ def test_titles_behind_a_learned_head_are_furniture():
         for text in pages:
             assert {5, 6, 7, 8} <= set(B.furniture_lines(text, host, frozenset(wrapper.template()), heads))
             assert 2 not in B.furniture_lines(text, host, frozenset(wrapper.template()), heads)
+
+
+def test_long_lines_are_template_too():
+    host, legal = "three.example", "We use cookies on three.example and www.other.example. " + "They keep this page working for every reader. " * 9
+    assert len(legal) > B.LONGEST
+    texts = [f"Menu\n{' '.join([word] * 80)}.\n{legal}" for word in WORDS[:3]]  # pages that differ in a long line only
+    pages = {tuple(B.stream(t, host)) for t in texts}
+    assert len(pages) == 3
+    w = B.Wrapper()
+    for p in pages:
+        w.align_page(list(p))
+    for t in texts:
+        assert B.furniture_lines(t, host, frozenset(w.template())) == [0, 2]
+
+
+def test_a_long_run_without_spaces_takes_one_pass():
+    assert B.token("x-" * 200_000 + " see a.b.example/y and www.c.example", None).endswith("see ~ and ~")
+    assert len(B.token("." * 100_000 + "ab " + "a." * 2_000, None)) > 0
