@@ -419,8 +419,8 @@ def page_furniture(pages: DataFrame, wrappers: DataFrame | None = None, skip_res
 
 
 def main_content(pages: DataFrame, **options) -> DataFrame:
-    """(rec_table, rec_id, text, n_removed): each page with its own lines only."""
-    found = page_furniture(pages, **options)
+    """(rec_table, rec_id, text, n_removed): each page with its own lines only, those with cases of problem 10 too."""
+    found = page_furniture(pages, **{"skip_residue_of": ()} | options)
     drop = found.groupBy("rec_table", "rec_id").agg(F.collect_set("line_no").alias("drop"))
     joined = pages.join(drop, ["rec_table", "rec_id"], "left")
     lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(k.cast("long").alias("k"), x.alias("line")))

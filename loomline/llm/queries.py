@@ -61,7 +61,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"))
+    return language.identify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "lang_samples"), skip_residue=False)
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,3 +132,12 @@ def test_long_lines_are_template_too():
 def test_a_long_run_without_spaces_takes_one_pass():
     assert B.token("x-" * 200_000 + " see a.b.example/y and www.c.example", None).endswith("see ~ and ~")
     assert len(B.token("." * 100_000 + "ab " + "a." * 2_000, None)) > 0
+
+
+def test_main_content_of_pages_with_residue(spark):
+    rows = [("documents", k, "hot.example", t) for k, (t, _) in enumerate(_pages("hot.example", 40, 7))]
+    rows.append(("documents", 902, "hot.example", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.\n" + NAV))
+    pages = spark.createDataFrame(rows, "rec_table string, rec_id bigint, host string, text string")
+    assert B.page_furniture(pages).where("rec_id = 902").count() == 0  # p2_found is without the cases of problem 10
+    row = B.main_content(pages).where("rec_id = 902").first()
+    assert (row.text, row.n_removed) == ("Lorem ipsum dolor sit amet, consectetur adipiscing elit.", 1)

@@ -59,3 +59,13 @@ def test_found(spark):
     assert {r.doc_id for r in whole.collect()} == {1, 2, 3, 7, 9}
     assert L.wrong_labels_and_foreign_lines(docs.limit(0), samples).count() == 0
     assert L.identify(docs.where("doc_id = 1"), samples.limit(0)).where(F.col("line_no") == -1).first().lang == "uk"
+
+
+def test_documents_with_residue_have_a_language(spark, tmp_path):
+    from loomline.llm import queries
+
+    text = "You can ask the council for help with your housing and your school place this week.\nLorem ipsum dolor sit amet, consectetur adipiscing elit."
+    spark.createDataFrame([(1, text, None)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(SAMPLES, "lang string, text string").write.parquet(f"{tmp_path}/lang_samples.parquet")
+    assert queries.p1_languages(spark, str(tmp_path)).where("line_no = -1").first().lang == "en"
+    assert queries.p1_found(spark, str(tmp_path)).count() == 0  # without the cases of problem 10
