@@ -1,7 +1,7 @@
 """Chunking: fixed windows, packed sentences and packed paragraphs.
 
-Fixed windows are native. Packing is a fold over a document's sentences; it runs in an Arrow
-function that sees one document at a time, so no group is gathered. Positions count
+Fixed windows are native. Packing finds chunk bounds by bisection in the prefix sums of the
+parts' lengths, in an Arrow function that sees one document at a time, so no group is gathered. Positions count
 code points of the cleaned text; those of packed chunks are approximate, as overlap and
 long sentences shift them (long sentences give positions inside the sentence).
 """
@@ -9,13 +9,16 @@ long sentences shift them (long sentences give positions inside the sentence).
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.text import clean_text
-from loomline.session import spread
+from loomline.session import checkpointed, spread
 
 SIZE, OVERLAP = 500, 50
 STRATEGIES = ("fixed", "sentence", "paragraph")
@@ -48,81 +51,67 @@ def _fixed(text: str, size: int, overlap: int) -> list[tuple[str, int, int]]:
     return [w for w in windows if w[0]]
 
 
-class _Packer:
-    """The fold: parts collected for the next chunk, its length so far and where it starts."""
+def _short_runs(parts: list[str], size: int) -> Iterator[tuple[list[str], str | None]]:
+    """Each run of parts that fit the size, with the oversized part behind it (None at the end)."""
+    run: list[str] = []
+    for part in parts:
+        if len(part) <= size:
+            run.append(part)
+        else:
+            yield run, part
+            run = []
+    yield run, None
 
-    def __init__(self, size: int, overlap: int, glue: str):
-        self.size, self.overlap, self.glue = size, overlap, glue
-        self.done: list[tuple[str, int, int]] = []
-        self.parts: list[str] = []
-        self.length = self.start = 0
 
-    def flush(self) -> int:
-        text = self.glue.join(self.parts)
-        end = self.start + len(text)
-        self.done.append((text, self.start, end))
-        return end
+def _ranges(parts: list[str], size: int, overlap: int, gap: int, glued: bool) -> list[tuple[int, int, int]]:
+    """(first, end, shift) of the chunks of a run: bounds found by bisection in the prefix sums of the lengths.
 
-    def restart(self, parts: list[str], length: int, start: int) -> None:
-        self.parts, self.length, self.start = parts, length, start
-
-    def carried(self) -> tuple[list[str], int]:
-        """The last parts that fit into the overlap, and their length with a space each."""
-        kept: list[str] = []
-        length = 0
-        for part in reversed(self.parts):
-            if length + len(part) > self.overlap:
-                break
-            kept.insert(0, part)
-            length += len(part) + 1
-        return kept, length
+    Each part weighs its length and a ``gap``. A chunk takes parts up to the last prefix sum
+    within the size, always one part no chunk has had; the next begins early enough to repeat
+    what fits the overlap. ``shift`` is where the chunk begins, counted from the run's start:
+    overlap is measured with its gaps if ``glued`` (sentences: any number of them), without
+    if not (paragraphs: the last one), so each step falls short by the gap it cannot see.
+    """
+    sums = [0, *accumulate(len(p) + gap for p in parts)]
+    out: list[tuple[int, int, int]] = []
+    first = fresh = shift = room = 0
+    while fresh < len(parts):
+        end = max(bisect_right(sums, sums[first] + size + room) - 1, fresh + 1)
+        out.append((first, end, shift))
+        if glued:
+            following = max(first, bisect_left(sums, sums[end] - gap - overlap, hi=end))
+            room, lost = 0, gap
+        else:
+            following = end - 1 if len(parts[end - 1]) <= overlap else end
+            room = gap * (end - following)
+            lost = gap - room
+        shift += sums[following] - sums[first] - lost
+        first, fresh = following, end
+    return out
+
+
+def _pack(parts: list[str], size: int, overlap: int, glue: str, cut) -> list[tuple[str, int, int]]:
+    """Chunks of whole parts; ``cut`` divides a part over the size, whose last piece is where positions go on."""
+    out: list[tuple[str, int, int]] = []
+    start = 0
+    for run, oversized in _short_runs(parts, size):
+        for first, end, shift in _ranges(run, size, overlap, len(glue), glue == " "):
+            text = glue.join(run[first:end])
+            out.append((text, start + shift, start + shift + len(text)))
+        if oversized is not None:
+            out += (pieces := cut(oversized, size, overlap))
+            start = pieces[-1][2]
+    return out
 
 
 def pack_sentences(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
     """(text, start, end) of chunks of whole sentences; a sentence over the size is cut into windows."""
-    fold = _Packer(size, overlap, " ")
-    for sentence in filter(None, map(str.strip, _CUT.split(text))):
-        n = len(sentence)
-        if n > size:
-            if fold.parts:
-                fold.flush()
-            windows = _fixed(sentence, size, overlap)
-            fold.done += windows
-            fold.restart([], 0, windows[-1][2])
-            continue
-        if fold.parts and fold.length + n + 1 > size:
-            end = fold.flush()
-            kept, length = fold.carried()
-            fold.restart(kept, length, end - length)
-        fold.parts.append(sentence)
-        fold.length += n + 1
-    if fold.parts:
-        fold.flush()
-    return fold.done
+    return _pack([s for s in map(str.strip, _CUT.split(text)) if s], size, overlap, " ", _fixed)
 
 
 def pack_paragraphs(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[str, int, int]]:
     """Chunks of whole paragraphs; one over the size is packed by sentences, the last carries over if it fits the overlap."""
-    fold = _Packer(size, overlap, "\n\n")
-    for paragraph in filter(None, map(str.strip, _BLANK.split(text))):
-        n = len(paragraph)
-        if n > size:
-            if fold.parts:
-                fold.flush()
-            packed = pack_sentences(paragraph, size, overlap)
-            fold.done += packed
-            fold.restart([], 0, packed[-1][2])
-            continue
-        if fold.parts and fold.length + n + 2 > size:
-            end = fold.flush()
-            kept = [fold.parts[-1]] if len(fold.parts[-1]) <= overlap else []
-            length = sum(map(len, kept))
-            fold.restart(kept, length, end - length)
-        fold.parts.append(paragraph)
-        fold.length += n + 2
-    if fold.parts:
-        fold.flush()
-    return fold.done
+    return _pack([p for p in map(str.strip, _BLANK.split(text)) if p], size, overlap, "\n\n", pack_sentences)
 
 
 def packed_chunks(text: Column, strategy: str, size: int = SIZE, overlap: int = OVERLAP) -> Column:
@@ -155,10 +144,11 @@ def with_ordinal(df: DataFrame, order: list[str], name: str = "document_index")
     """A gapless number from 0 in the given order, without one task seeing all rows.
 
     Rows are range-partitioned and numbered within their partition; the sizes of the
-    partitions, one number each, give the offsets.
+    partitions, one number each, give the offsets. The numbered rows are written once: run
+    twice, a range partitioning may cut at other places.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33))
+    numbered = checkpointed(ranged.withColumn("__id", F.monotonically_increasing_id()).withColumn("__p", F.shiftright("__id", 33)))
     sizes = numbered.groupBy("__p").count()
     offsets = sizes.select("__p", F.coalesce(F.expr("sum(count) over (order by __p rows between unbounded preceding and 1 preceding)"), F.lit(0)).alias("__o"))
     joined = numbered.join(F.broadcast(offsets), "__p")  # one row a partition

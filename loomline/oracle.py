@@ -56,6 +56,50 @@ CASE WHEN length(text) <= 3800 THEN text ELSE
   substring(text, 1, CASE WHEN b > 3040 THEN b + 1 ELSE 3800 END) || chr(10) || chr(10) || '...(повідомлення скорочено через обмеження довжини)' END
 """
 
+
+
+def _packed(name: str, parts: str, gap: int, glue: str, back: str, room: str, lost: str) -> str:
+    """CTEs {name}(unit, seg, c, first_k, text, s, e): the parts of each unit (unit, k, t) packed by recursion; parts over 500 are left to others."""
+    return f"""
+{name}_g AS (SELECT *, length(t) AS n, count(*) FILTER (length(t) > 500) OVER (PARTITION BY unit ORDER BY k) AS seg FROM {parts}),
+{name}_b AS (SELECT unit, seg, k FROM {name}_g WHERE n > 500),
+{name}_p AS (SELECT unit, seg, k, t, n, sum(n + {gap}) OVER (PARTITION BY unit, seg ORDER BY k) AS p FROM {name}_g WHERE n <= 500),
+{name}_l AS (SELECT unit, seg, min(k) AS first_k, list(t ORDER BY k) AS ts, list(n ORDER BY k) AS ns, list_prepend(0::HUGEINT, list(p ORDER BY k)) AS ps FROM {name}_p GROUP BY unit, seg),
+{name}_r AS (
+  SELECT unit, seg, first_k, ts, ns, ps, 0 AS c, 0::BIGINT AS a, 0::BIGINT AS f, greatest(len([x FOR x IN ps IF x <= 500]) - 1, 1)::BIGINT AS e, 0::HUGEINT AS pos FROM {name}_l
+  UNION ALL
+  SELECT unit, seg, first_k, ts, ns, ps, c + 1, b, e, greatest(len([x FOR x IN ps IF x <= ps[b + 1] + 500 + {room}]) - 1, e + 1)::BIGINT, pos + ps[b + 1] - ps[a + 1] - {lost}
+  FROM (SELECT *, {back} AS b FROM {name}_r WHERE e < len(ts))
+),
+{name} AS (SELECT unit, seg, c, first_k, array_to_string(ts[a + 1:e], {glue}) AS text, pos FROM {name}_r)"""
+
+
+def _windows(name: str, units: str) -> str:
+    """CTE {name}(unit, k, s, e, text): windows of 500 every 450 over the oversized parts (unit, k, t)."""
+    return f"""
+{name}_s AS (SELECT unit, k, t, unnest(generate_series(0, length(t) - 1, 450)) AS s FROM {units} WHERE length(t) > 500),
+{name} AS (SELECT unit, k, s, least(s + 500, length(t)) AS e, trim(substring(t, (s + 1)::BIGINT, 500), ' ' || chr(10)) AS text FROM {name}_s)"""
+
+
+#: The overlap of sentences: back to the first whose prefix sum is within it; of paragraphs: the last one, if it fits.
+_BACK_SENTENCE = "greatest(a, least(e, len([x FOR x IN ps IF x < ps[e + 1] - 51])))"
+_SENTENCES = _packed("q", "u", 1, "' '", _BACK_SENTENCE, "0", "1")
+_PARTS = r"[trim(x, ' ' || chr(10)) FOR x IN string_split(regexp_replace({t}, '([.!?…])\s+([А-ЯІЇЄҐA-Z])', '\1' || chr(1) || '\2', 'g'), chr(1)) IF trim(x, ' ' || chr(10)) <> '']"
+
+
+def _unnested(units: str, parts: str) -> str:
+    return f"SELECT unit, unnest(generate_series(1, len(ps))) AS k, unnest(ps) AS t FROM (SELECT unit, {parts} AS ps FROM {units})"
+
+
+_SENTENCE_CHUNKS = f"""
+u AS ({_unnested("d", _PARTS.format(t="t"))}),{_SENTENCES},{_windows("w", "u")},
+sentence_chunks AS (
+  SELECT q.unit, q.text, q.pos + coalesce(length(b.t), 0) AS s, q.first_k AS k, q.c FROM q LEFT JOIN (SELECT g.unit, g.seg, g.t FROM q_g g WHERE n > 500) b ON b.unit = q.unit AND b.seg = q.seg
+  UNION ALL SELECT unit, text, s, k, s FROM w WHERE text <> '')"""
+_CHUNK_ROWS = """
+SELECT unit AS doc_id, text, (row_number() OVER (PARTITION BY unit ORDER BY {order}) - 1)::INTEGER AS chunk_index, (count(*) OVER (PARTITION BY unit))::INTEGER AS total_chunks,
+  s::INTEGER AS start_char, {end}::INTEGER AS end_char FROM {rows}"""
+
 ORACLE: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS text FROM documents",
     "clean_lines": rf"""
@@ -76,6 +120,23 @@ WITH c AS (SELECT lang, {_CLEAN} AS t FROM documents),
 w AS (SELECT lang, t, unnest(generate_series(0, length(t) - 1, 450)) AS s FROM c WHERE length(t) > 0),
 k AS (SELECT lang, trim(substring(t, (s + 1)::BIGINT, 500), ' ') AS text FROM w)
 SELECT lang, count(*) AS n, round(avg(length(text)), 6) AS mean, min(length(text))::INTEGER AS least, max(length(text))::INTEGER AS most FROM k WHERE text <> '' GROUP BY lang""",
+    "chunk_sentence": f"""
+WITH RECURSIVE d AS (SELECT doc_id AS unit, {_CLEAN} AS t FROM documents),{_SENTENCE_CHUNKS},
+ends AS (SELECT c.unit, c.text, c.s, c.k, c.c, coalesce(w.e, c.s + length(c.text)) AS e FROM sentence_chunks c LEFT JOIN w ON w.unit = c.unit AND w.k = c.k AND w.s = c.c AND w.s = c.s)
+{_CHUNK_ROWS.format(order="k, c", end="e", rows="ends")}""",
+    "chunk_paragraph": f"""
+WITH RECURSIVE o AS (SELECT doc_id AS unit, trim(text, ' ') AS t FROM documents),
+v AS (SELECT unit, unnest(generate_series(1, len(ps))) AS k, unnest(ps) AS t FROM (
+  SELECT unit, [{_strip("x")} FOR x IN regexp_split_to_array(t, chr(10) || '{_WS}*' || chr(10)) IF {_strip("x")} <> ''] AS ps FROM o)),
+{_packed("m", "v", 2, "chr(10) || chr(10)", "CASE WHEN ns[e] <= 50 THEN e - 1 ELSE e END", "2 * (e - b)", "2 * (1 - (e - b))").lstrip()},
+d AS (SELECT unit * 1000000 + k AS unit, t FROM v WHERE length(t) > 500),{_SENTENCE_CHUNKS},
+ends AS (SELECT c.unit, c.text, c.s, c.k, c.c, coalesce(w.e, c.s + length(c.text)) AS e FROM sentence_chunks c LEFT JOIN w ON w.unit = c.unit AND w.k = c.k AND w.s = c.c AND w.s = c.s),
+last_end AS (SELECT unit, max_by(e, (k, c)) AS e FROM ends GROUP BY unit),
+every AS (
+  SELECT m.unit, m.text, m.pos + coalesce(z.e, 0) AS s, m.pos + coalesce(z.e, 0) + length(m.text) AS e, m.first_k AS k, 0 AS j, m.c FROM m
+  LEFT JOIN m_b ON m_b.unit = m.unit AND m_b.seg = m.seg LEFT JOIN last_end z ON z.unit = m_b.unit * 1000000 + m_b.k
+  UNION ALL SELECT unit // 1000000, text, s, e, unit % 1000000, k, c FROM ends)
+{_CHUNK_ROWS.format(order="k, j, c", end="e", rows="every")}""",
     "document_ordinal": "SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS document_index FROM documents",
     "first_heading": f"SELECT doc_id, {_strip("coalesce(title, '?')")} AS heading FROM documents",
     "route_intent": "SELECT doc_id, "

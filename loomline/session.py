@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,7 @@ def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
         .config("spark.driver.host", "127.0.0.1")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -30,28 +32,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the reliable checkpoint folder.
+    """Cut the lineage through the reliable checkpoint folder the session names in ``spark.checkpoint.dir``.
 
-    The folder the cluster names in ``spark.checkpoint.dir`` is used; only where that
-    setting is missing (local tests) a folder of our own is set.
+    A session whose tasks run in the driver's own process (``local[n]``: tests, the benchmark)
+    may go without the setting and gets a folder of its own. Any other session without it is
+    refused: its executors would write to the disks of their own machines. Files go when the
+    data frame does if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="loomline-checkpoint-"))
-    elif context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomline-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Give a CPU-heavy map stage at least one task for each core.
 
-    A small input comes as one or two file splits. Where splits already outnumber the
-    cores (any input of production size) the data is not moved at all, nor behind a shuffle,
-    whose partitions are sized by the session.
+    A small input comes as one or two file splits and is moved once. Where splits already
+    outnumber the cores (any input of production size) the data is not moved at all, nor
+    behind a shuffle (an adaptive plan), whose partitions are sized by the session. Only the
+    plan depends on this, never the rows.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+    if df._jdf.queryExecution().executedPlan().getClass().getSimpleName() == "AdaptiveSparkPlanExec":
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
