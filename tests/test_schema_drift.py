@@ -77,3 +77,53 @@ def test_flooding_prefers_agreeing_values():
 def test_similar_names_alone_are_no_rename():
     assert S.correspondences({"url": "string"}, {"urls": "string"}, {("url", "urls"): (10, 1)}) == []
     assert S.correspondences({"url": "string"}, {"urls": "string"}, {}) == []
+
+
+def test_the_flooded_scores_select():
+    """Two partners agree for each field: names and nesting decide, by the scores alone."""
+    old = {"metadata.lang": "string", "metadata.label": "string", "kept": "number"}
+    new = {"metadata.language": "string", "metadata.labels": "string", "kept": "number"}
+    counts = {(a, b): (10, 9) for a in ("metadata.lang", "metadata.label") for b in ("metadata.language", "metadata.labels")}
+    assert set(S.correspondences(old, new, counts)) == {("metadata.lang", "metadata.language"), ("metadata.label", "metadata.labels")}
+    flood = S.flood
+    try:
+        S.flood = lambda old, new, agreement: {(a, b): 0.0 for a in old for b in new}
+        assert S.matching({"b": "string", "a": "string"}, {"x": "string", "y": "string"}, {("a", "y"): 1.0, ("b", "x"): 1.0}) == [("a", "x"), ("b", "y")]
+    finally:
+        S.flood = flood
+    assert set(S.matching({"b": "string", "a": "string"}, {"x": "string", "y": "string"}, {("a", "y"): 1.0, ("b", "x"): 1.0})) == {("a", "y"), ("b", "x")}
+
+
+def _rows(spark, files):
+    rows = [(feed, f"{feed}/documents_{stamp}.json", k, json.dumps(d)) for feed, stamp, docs in files for k, d in enumerate(docs)]
+    return spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "record_id bigint, feed string, file_name string, position int, payload string")
+
+
+def test_table_keeps_both_fields_of_a_record(spark):
+    """One feed renames category to topic, another holds both; a record of an older schema stands among the new."""
+    a1 = [{"id": f"document {k}", "category": f"c{k}"} for k in range(6)]
+    a2 = [{"id": f"document {k}", "topic": f"c{k}"} for k in range(6)] + [{"id": "document 7", "category": "c7"}, {"id": "document 8", "category": "own", "topic": "other"}]
+    b = [{"id": f"paper {k}", "category": f"d{k}", "topic": f"t{k}"} for k in range(5)] + [{"id": "paper 9", "topic": "t9"}]
+    records = _rows(spark, [("a", "20240101_000000", a1), ("a", "20240102_000000", a2), ("b", "20240101_000000", b)])
+    assert {(r.change, r.field, r.old_field) for r in S.changes(records).collect()} == {("renamed", "topic", "category")}
+    rows = {r.id: r for r in S.consistent_table(records).where("feed = 'b' or file_name like '%02_000000.json'").collect()}
+    assert set(S.consistent_table(records).columns) == {"record_id", "feed", "file_name", "position", "id", "category", "topic"}
+    own = "category"  # held by as many records as topic, and first by name
+    assert rows["document 3"][own] == "c3" and rows["document 7"][own] == "c7"
+    assert (rows["document 8"].category, rows["document 8"].topic) == ("own", "other")
+    assert all((rows[f"paper {k}"].category, rows[f"paper {k}"].topic) == (f"d{k}", f"t{k}") for k in range(5))
+    assert (rows["paper 9"].category, rows["paper 9"].topic) == (None, "t9")
+
+
+def test_documents_without_rare_values_are_linked(spark):
+    """No value is rare or long, and every record stands three times; combinations of fields link the documents."""
+    docs = [{"a": k % 4, "b": k // 4 % 4, "c": k // 16, "d": 1, "e": "x", "f": "y", "mark": "p" if k % 3 else "q"} for k in range(48)]
+    new = [{"sign" if n == "mark" else n: v for n, v in d.items()} for d in docs]
+    records = _rows(spark, [("a", "20240101_000000", docs * 3), ("a", "20240102_000000", new * 3)])
+    assert [(r.change, r.field, r.old_field) for r in S.changes(records).collect()] == [("renamed", "sign", "mark")]
+
+
+def test_a_path_that_is_value_and_object(spark):
+    records = _rows(spark, [("a", "20240101_000000", [{"x": "v"}, {"x": {"y": 1}}, {"x": 3}]), (None, "20240101_000000", [{"x": None}])])
+    rows = sorted((r.position, r.x, r.x_y) for r in S.consistent_table(records).where("feed = 'a'").collect())
+    assert rows == [(0, "v", None), (1, None, 1.0), (2, "3", None)]
