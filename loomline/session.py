@@ -62,3 +62,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores * 2, *keys) if keys else df.repartition(cores * 2)
+
+
+def scattered(df: DataFrame, *keys: str) -> DataFrame:
+    """Shuffled by the keys into as many partitions as the session names, for groups that cost much CPU for few bytes: adaptive plans would merge them by bytes."""
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
