@@ -2,28 +2,36 @@
 
 Union-free regular-expression inference. Pages of one host are streams of line tokens (a
 line with its digits, host names, bullets and spacing generalised). A host's wrapper is a
-sequence of such tokens; each page is aligned with it: tokens met in order are template,
-tokens only one side has become optional nodes, tokens met again within a page make a node
-repeated, title slots met again behind a token make it the head of a group, and lines nothing
-is aligned with are text slots. Nodes that stay below the
-support a template needs fall back into text slots, by lossy counting: no node above the
-support is ever lost, and a wrapper stays small whatever the number of pages.
+sequence of optional places, each for one token; between them are text slots. Each page is
+aligned with the wrapper (a longest common subsequence): a line that aligns adds to its
+place, a mismatch makes a new optional place behind the last aligned one, so a token met in
+several orders has several places. Places and tokens that stay below the share a template
+needs fall back into text slots, by lossy counting: none above the share is ever lost, and
+a wrapper stays small whatever the number of pages. Template tokens are those that stand on
+``SUPPORT`` of the host's pages, counted exactly once the candidates are known.
 
 Wrappers are merged by the same alignment, so the inference is a tree: pages are spread
 over (host, salt) groups of bounded size, each group gives a partial wrapper, and partial
-wrappers are merged ``FAN`` at a time. Only line hashes are shuffled, no text. All pages are
-used; a host with a third of them is many groups.
-
-To extract, each line of a page is looked up among its host's template lines, whatever its
-place: the order is inferred, but pages depart from it (README), so it does not decide. Template
-lines are furniture, so are the titles behind the head of a group; text slots are the page's own
-content. Slots the template cannot settle, because
-they are rare on every host, are settled by their form: breadcrumbs, tag lists, controls
-(print, skip, paging, adverts, feedback), and the links of a related-pages group, which is
-a repeated group of title slots behind its header.
-
-Null and empty pages have no lines. Pages without a host form one host of their own. Copies
-of a page count once in the inference. Extra columns are ignored.
+wrappers are merged ``FAN`` at a time. Copies of a page are dropped before. Texts are read
+once; what is kept and shuffled are the hashes of their lines. All pages are used; a host
+with a third of them is many groups.
+
+To extract, each page is aligned with its host's wrapper. A line is furniture if it is aligned,
+that is, stands where the wrapper has a place for it; the same line elsewhere is text. Three
+kinds of slots are resolved by what is aligned around them, over all hosts:
+
+* repeated groups of title slots: a place is the head of one if two or more lines of the
+  shape of titles, alike in their bullets, stand right behind it on ``HEADS`` of its pages;
+* labelled slots ("label: text", "first › second"): the label is template if more lines that
+  begin with it than not stand next to furniture;
+* optional lines too rare on every host for a place: the same test for the line itself.
+
+"More than not" is meant with statistical certainty (the lower Wilson bound). A page's first
+text line, where its title stands, says nothing about such slots (but for paths) and is left
+out of the tests.
+
+Null and empty pages have no lines. Pages without a host form one host of their own. Extra
+columns are ignored. A host with fewer than ``LEAST_PAGES`` different pages has no template.
 """
 
 from __future__ import annotations
@@ -33,36 +41,44 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from hashlib import blake2b
+from zlib import crc32
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.llm.residue import is_residue
-from loomline.session import checkpointed, spread
+from loomline.session import checkpointed, scattered, spread
 
-#: Share of a host's pages a template line stands in, at least, and pages.
+#: Share of a host's pages a template line stands on, at least, and pages.
 SUPPORT, LEAST_PAGES = 0.08, 3
-#: Lossy counting: counts are short by this share of the pages at most.
+#: Lossy counting: counts are short by this share of the pages at most; a place has more than it.
 ERROR = 0.02
-#: A template line heads a group of titles if two or more stand behind it, each after a bullet, on this share of its pages.
+#: A place heads a group of titles if two or more stand behind it on this share of its pages.
 HEADS = 0.75
+#: Occurrences a labelled or rare optional slot has at least, the share of them next to furniture, and the certainty of it.
+LEAST_SEEN, BESIDE, CERTAINTY = 5, 0.5, 1.96
+#: Letters of a label.
+LABEL_LETTERS = 40
 #: Pages of an inference group; partial wrappers merged at a time.
 GROUP, FAN = 512, 32
 #: Longer lines are hashed like any other, but not kept in memory by their form.
-LONGEST = 300
-#: Site controls are no longer than this.
-LONGEST_CONTROL = 90
-#: Wrappers with so many nodes in all are sent to every executor; beyond, pages are joined with them.
-MOST_BROADCAST = 2_000_000
+LONG = 300
+#: Rows and places of what is sent to every executor; beyond, it is joined with the pages' hashes.
+MOST_ROWS, MOST_PLACES = 200_000, 2_000_000
 
 _HOSTS = re.compile(r"(?:https?://)?(?:www\.)?[\w\-]+(?:\.[\w\-]+)*\.[a-z]{2,}(?:/\S*)?")
 #: The same for long lines, in one pass over what has no spaces.
 _HOSTS_LONG = re.compile(r"(?<![\w\-.])" + _HOSTS.pattern)
 _LEAD = re.compile(r"[^\w#©]+")
 _DOTTED = re.compile(r"\.[a-z]{2}")
-_INVISIBLE = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]+")
+_INVISIBLE = re.compile("[­​-‍⁠﻿]+")
 _DIGITS = re.compile(r"\d+")
+_CRUMB = re.compile(r"\s[›»>→/]\s")
+_LABEL = re.compile(rf"([^\W\d_][^:.!?#]{{0,{LABEL_LETTERS - 1}}}?)\s*:\s+\S")
+_BULLET = re.compile(r"\s*([›»→•*·\-–—>▪‣]*)\s*")
+_ENDS_SENTENCE = re.compile(r"[.;!?…:,]\s*$")
 
 
 def token(line: str, host: str | None) -> str:
@@ -71,7 +87,7 @@ def token(line: str, host: str | None) -> str:
     if host and host in low:
         low = low.replace(host, " ~ ")
     if _DOTTED.search(low):
-        low = (_HOSTS if len(low) <= LONGEST else _HOSTS_LONG).sub(" ~ ", low)
+        low = (_HOSTS if len(low) <= LONG else _HOSTS_LONG).sub(" ~ ", low)
     low = _DIGITS.sub("#", low)
     m = _LEAD.match(low)
     if m:
@@ -81,168 +97,165 @@ def token(line: str, host: str | None) -> str:
     return " ".join(low.split()).strip(" .:")
 
 
+def label(form: str) -> str | None:
+    """What a line of labelled text begins with, up to its first separator."""
+    m = _CRUMB.search(form)
+    if m and m.start():
+        return form[: m.start()] + " ›"
+    m = _LABEL.match(form) if ":" in form else None
+    return m[1] + ":" if m else None
+
+
 def token_hash(form: str) -> int:
     return int.from_bytes(blake2b(form.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def stream(text: str, host: str | None) -> list[int]:
-    """The token hashes of a page; a 0 in front of one marks a title behind a bullet."""
+_forms: dict[str, tuple[int, int]] = {}
+
+
+def _hashes(form: str) -> tuple[int, int]:
+    """The hashes of a form and of its label (0 if it has none); short forms recur and are kept in a bounded memory."""
+    found = _forms.get(form)
+    if found is None:
+        name = label(form)
+        # an odd number marks a path like "first › second", which is no title
+        found = (token_hash(form), 0 if not name else token_hash(name) | 1 if name.endswith("›") else token_hash(name) & ~1)
+        if len(form) <= LONG:
+            if len(_forms) > 300_000:
+                _forms.clear()
+            _forms[form] = found
+    return found
+
+
+def stream(text: str, host: str | None) -> list[tuple[int, int, int, int]]:
+    """(line_no, token, label, style) of the non-empty lines: hashes, and 0 or a number of the bullets of a line shaped like a title."""
     host = host.lower() if host else None
-    out, forms = [], _forms
-    for line in text.split("\n"):
+    out = []
+    for k, line in enumerate(text.split("\n")):
         if line and not line.isspace():
             form = token(line, host)
             if form:
-                if len(form) > LONGEST:
-                    out.append(token_hash(form))
-                    continue
-                if line.lstrip()[0] in _BULLETS and _is_title(line, form):
-                    out.append(0)
-                out.append((forms.get(form) or _look_up(form))[0])
+                style = 0 if _ENDS_SENTENCE.search(line) else 1 + crc32(_BULLET.match(line)[1].encode()) % 1_000_003
+                out.append((k, *_hashes(form), style))
     return out
 
 
-_forms: dict[str, tuple[int, int]] = {}
-_OTHER, _IS_CONTROL, _IS_RELATED = 0, 1, 2
-
-
-def _look_up(form: str) -> tuple[int, int]:
-    """The hash of a form and what it is by its words alone; kept in a bounded memory, as forms recur."""
-    kind = _OTHER
-    if len(form) <= LONGEST_CONTROL:
-        kind = _IS_RELATED if _RELATED.fullmatch(form) else _IS_CONTROL if _CONTROL.fullmatch(form) else _OTHER
-    if len(_forms) > 300_000:
-        _forms.clear()
-    found = _forms[form] = (token_hash(form), kind)
-    return found
+def align(tokens: list[int], at: dict[int, list[int]]) -> list[tuple[int, int]]:
+    """(position, place) of a longest common subsequence of a page and a wrapper, given the places of each token in order."""
+    tails: list[int] = []
+    chains: list[tuple] = []
+    for position, t in enumerate(tokens):
+        for place in reversed(at.get(t, ())):  # the last first, so that a line takes one place
+            j = bisect_left(tails, place)
+            chain = (position, place, chains[j - 1] if j else None)
+            if j == len(tails):
+                tails.append(place)
+                chains.append(chain)
+            else:
+                tails[j], chains[j] = place, chain
+    out, chain = [], chains[-1] if chains else None
+    while chain:
+        out.append((chain[0], chain[1]))
+        chain = chain[2]
+    return out[::-1]
 
 
-def _increasing(values: list[float]) -> list[int]:
-    """Positions of a longest increasing subsequence."""
-    tails: list[float] = []
-    at: list[int] = []
-    before = [-1] * len(values)
-    for k, v in enumerate(values):
-        j = bisect_left(tails, v)
-        if j == len(tails):
-            tails.append(v)
-            at.append(k)
-        else:
-            tails[j], at[j] = v, k
-        before[k] = at[j - 1] if j else -1
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(k)
-        k = before[k]
-    return out[::-1]
+def places_of(order: list[int]) -> dict[int, list[int]]:
+    at: dict[int, list[int]] = {}
+    for k, t in enumerate(order):
+        at.setdefault(t, []).append(k)
+    return at
 
 
 class Wrapper:
-    """Nodes by token: [pages, pages with repeats, rank in the sequence, pages out of order, pages with a group of titles behind, slack]."""
+    """Optional places in order, [token, pages, slack], and the pages of each token, [pages, slack]."""
 
     def __init__(self):
         self.pages = 0
-        self.nodes: dict[int, list] = {}
-        self._due = max(1, math.ceil(1 / ERROR))
+        self.tokens: dict[int, list[int]] = {}
+        self.places: list[list[int]] = []
+        self._due = math.ceil(1 / ERROR)
 
     def align_page(self, tokens: list[int]) -> None:
         """Align one page and resolve the mismatches."""
-        counts: dict[int, int] = {}
-        order: list[int] = []
-        heads: set[int] = set()
-        head, titles, marked = None, 0, False
-        for t in tokens:
-            if t == 0:
-                marked = True
-                continue
-            counts[t] = counts.get(t, 0) + 1
-            if counts[t] == 1:
-                order.append(t)
-            if marked:
-                titles += 1
-                if titles == 2 and head is not None:
-                    heads.add(head)
-            else:
-                head, titles = t, 0
-            marked = False
-        self._align(order, {t: (1, int(n > 1), 0, int(t in heads), 0) for t, n in counts.items()}, 1)
+        self._align(tokens, [(1, 0)] * len(tokens), dict.fromkeys(tokens, (1, 0)), 1, 0)
 
     def merge(self, other: Wrapper) -> None:
-        """Align another wrapper, node by node."""
-        order = sorted(other.nodes, key=lambda t: other.nodes[t][2])
-        gain = {t: (n[0], n[1], n[3], n[4], n[5]) for t, n in other.nodes.items()}
-        # a node the other side dropped earlier may have been short by its slack
-        self._align(order, gain, other.pages, math.floor(ERROR * other.pages))
-
-    def _align(self, order: list[int], gain: dict[int, tuple], pages: int, missing: int = 0) -> None:
-        known = [t for t in order if t in self.nodes]
-        kept = {known[k] for k in _increasing([self.nodes[t][2] for t in known])}
+        """Align another wrapper, place by place; what it dropped earlier may have been short by its slack."""
+        gain = {t: tuple(n) for t, n in other.tokens.items()}
+        self._align([p[0] for p in other.places], [(p[1], p[2]) for p in other.places], gain, other.pages, math.floor(ERROR * other.pages))
+
+    def _align(self, order: list[int], weights: list[tuple[int, int]], gain: dict[int, tuple[int, int]], pages: int, missing: int) -> None:
         slack = math.floor(ERROR * self.pages)
-        ranks = sorted(n[2] for n in self.nodes.values()) if len(known) < len(order) else []
-        seen = dict.fromkeys(known)
-        rank, step = (ranks[0] - 1.0 if ranks else 0.0), 0
-        fresh: list[tuple[int, list]] = []
-        for t in order:
-            n, repeats, crossed, behind, short = gain[t]
-            if t in seen:
-                node = self.nodes[t]
-                node[0] += n
-                node[1] += repeats
-                node[3] += crossed + (0 if t in kept else n)
-                node[4] += behind
-                node[5] += short
-                if t in kept:
-                    rank, step = node[2], 0
-            else:  # an optional node behind the last aligned one
-                step += 1
-                j = bisect_left(ranks, rank + 1e-12)
-                room = (ranks[j] - rank) if j < len(ranks) else 1.0
-                fresh.append((t, [n, repeats, rank + room * step / (step + 1.0) if room > 0 else rank, crossed, behind, short + slack]))
+        met = dict(align(order, places_of([p[0] for p in self.places])))
         if missing:
-            for t, node in self.nodes.items():
+            for t, node in self.tokens.items():
                 if t not in gain:
-                    node[5] += missing
-        self.nodes.update(fresh)
+                    node[1] += missing
+        for t, (n, short) in gain.items():
+            node = self.tokens.setdefault(t, [0, slack])
+            node[0] += n
+            node[1] += short
+        fresh: dict[int, list[list[int]]] = {}
+        last, aligned = -1, set(met.values())
+        if missing:
+            for k, p in enumerate(self.places):
+                if k not in aligned:
+                    p[2] += missing
+        for position, t in enumerate(order):
+            n, short = weights[position]
+            place = met.get(position)
+            if place is None:  # an optional place behind the last aligned one
+                fresh.setdefault(last, []).append([t, n, short + slack])
+            else:
+                self.places[place][1] += n
+                self.places[place][2] += short
+                last = place
+        if fresh:
+            merged = fresh.get(-1, [])
+            for k, p in enumerate(self.places):
+                merged.append(p)
+                merged += fresh.get(k, ())
+            self.places = merged
         self.pages += pages
         if self.pages >= self._due:
             self._prune()
 
     def _prune(self) -> None:
-        """Nodes that cannot reach the support become text slots; ranks are made even."""
+        """Tokens and places that cannot reach the share become text slots."""
         least = ERROR * self.pages
-        self.nodes = {t: n for t, n in sorted(self.nodes.items(), key=lambda x: x[1][2]) if n[0] + n[5] > least}
-        for k, n in enumerate(self.nodes.values()):
-            n[2] = float(k)
-        self._due = self.pages + max(1, math.ceil(1 / ERROR))
+        self.tokens = {t: n for t, n in self.tokens.items() if n[0] + n[1] > least}
+        self.places = [p for p in self.places if p[0] in self.tokens and p[1] + p[2] > least]
+        self._due = self.pages + math.ceil(1 / ERROR)
 
-    def template(self, support: float = SUPPORT, least: int = LEAST_PAGES) -> list[int]:
-        """The tokens of the template in order; a count may be short by its slack."""
-        found = [t for t, n in self.nodes.items() if n[0] >= least and n[0] + n[5] >= support * self.pages and n[0] >= 0.75 * support * self.pages]
-        return sorted(found, key=lambda t: self.nodes[t][2])
+    def candidates(self) -> list[int]:
+        """The tokens that may have the support: their count may be short by their slack."""
+        return [t for t, n in self.tokens.items() if n[0] + n[1] >= max(SUPPORT * self.pages, LEAST_PAGES)]
 
-    def group_heads(self) -> list[int]:
-        """The tokens of the template that head a repeated group of titles."""
-        return [t for t in self.template() if self.nodes[t][4] >= HEADS * self.nodes[t][0]]
+    def template(self, tokens: set[int]) -> list[int]:
+        """The tokens of the places in order, of those given."""
+        return [p[0] for p in self.places if p[0] in tokens and p[1] + p[2] >= max(LEAST_PAGES, ERROR * self.pages)]
 
-    def dump(self) -> tuple[int, list[tuple]]:
-        return self.pages, [(t, n[0], n[1], float(n[2]), n[3], n[4], n[5]) for t, n in self.nodes.items()]
 
-    @staticmethod
-    def load(pages: int, nodes) -> Wrapper:
-        out = Wrapper()
-        out.pages = int(pages)
-        out.nodes = {int(n["t"]): [int(n["n"]), int(n["repeats"]), float(n["rank"]), int(n["crossed"]), int(n["behind"]), int(n["short"])] for n in nodes}
-        out._due = out.pages + max(1, math.ceil(1 / ERROR))
-        return out
+_PART = "host string, salt int, pages int, tokens array<bigint>, token_counts array<int>, places array<bigint>, place_counts array<int>"
 
 
-_NODES = "array<struct<t:bigint,n:int,repeats:int,rank:double,crossed:int,behind:int,short:int>>"
-_FIELDS = ("t", "n", "repeats", "rank", "crossed", "behind", "short")
+def _dump(host: str, salt: int, w: Wrapper) -> pd.DataFrame:
+    counts = lambda rows: [x for row in rows for x in row]
+    return pd.DataFrame({
+        "host": [str(host)], "salt": [int(salt)], "pages": [w.pages], "tokens": [list(w.tokens)], "token_counts": [counts(w.tokens.values())],
+        "places": [[p[0] for p in w.places]], "place_counts": [counts(p[1:] for p in w.places)],
+    })
 
 
-def _row(host: str, salt: int, wrapper: Wrapper) -> pd.DataFrame:
-    pages, nodes = wrapper.dump()
-    return pd.DataFrame({"host": [str(host)], "salt": [salt], "pages": [pages], "nodes": [[dict(zip(_FIELDS, n)) for n in nodes]]})
+def _load(row) -> Wrapper:
+    out = Wrapper()
+    out.pages = int(row.pages)
+    pairs = lambda flat: [[int(flat[k]), int(flat[k + 1])] for k in range(0, len(flat), 2)]
+    out.tokens = dict(zip(map(int, row.tokens), pairs(row.token_counts)))
+    out.places = [[int(t), *n] for t, n in zip(row.places, pairs(row.place_counts))]
+    out._due = out.pages + math.ceil(1 / ERROR)
+    return out
 
 
 def pages_of(table: DataFrame, rec_table: str, id_col: str, text: str, host) -> DataFrame:
@@ -252,170 +265,212 @@ def pages_of(table: DataFrame, rec_table: str, id_col: str, text: str, host) ->
     )
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, pages, nodes): one wrapper a host, from all its pages."""
-    sizes = pages.groupBy("host").count().where(F.col("count") > GROUP)
+_STREAM = "rec_table string, rec_id bigint, host string, kept boolean, page bigint, line_no array<int>, token array<bigint>, label array<bigint>, style array<int>"
+_STREAM_TYPES = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+_STREAM_NAMES = [c.split()[0] for c in _STREAM.split(", ")]
+
+
+def streams(pages: DataFrame, skip_residue_of: tuple[str, ...] = ()) -> DataFrame:
+    """One row of line hashes a page with lines; ``kept`` is false for cases of problem 10 in the tables named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in _STREAM_NAMES]
+            for rec_table, rec_id, host, text in zip(*(batch.column(c).to_pylist() for c in ("rec_table", "rec_id", "host", "text"))):
+                lines = stream(text, host) if text else None
+                if not lines:
+                    continue
+                numbers, tokens, labels, styles = zip(*lines)
+                whole = int.from_bytes(blake2b(repr(tokens).encode(), digest_size=8).digest(), "big", signed=True)
+                kept = not (rec_table in skip_residue_of and is_residue(text))
+                for column, value in zip(out, (rec_table, rec_id, host, kept, whole, numbers, tokens, labels, styles)):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _STREAM_TYPES)], _STREAM_NAMES)
+
+    return spread(pages.select("rec_table", "rec_id", "host", "text")).mapInArrow(run, _STREAM)
+
+
+def infer_wrappers(read: DataFrame) -> DataFrame:
+    """(host, pages, places): the template of each host in order, from all its different pages."""
+    distinct = checkpointed(read.groupBy("host", "page").agg(F.first("token").alias("token")))
+    sizes = distinct.groupBy("host").count().where(F.col("count") > GROUP)
     # one number to the driver: how often partial wrappers have to be merged
     largest = sizes.agg(F.max("count")).collect()[0][0] or 0
-
-    def streams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for host, text in zip(pdf["host"], pdf["text"]):
-                if text and (tokens := stream(text, host)):
-                    whole = blake2b(repr(tokens).encode(), digest_size=8).digest()
-                    out.append((host, int.from_bytes(whole, "big", signed=True), tokens))
-            yield pd.DataFrame(out, columns=["host", "page", "tokens"])
-
-    lines = pages.select("host", "text").mapInPandas(streams, "host string, page bigint, tokens array<bigint>")
+    salted = distinct.withColumn("salt", F.lit(0))
     if largest:
         hot = sizes.select("host", F.ceil(F.col("count") / GROUP).cast("int").alias("salts"))
-        lines = lines.join(hot, "host", "left").withColumn("salt", F.coalesce(F.pmod("page", "salts"), F.lit(0)).cast("int")).drop("salts")
-    else:
-        lines = lines.withColumn("salt", F.lit(0))
+        salted = distinct.join(hot, "host", "left").withColumn("salt", F.coalesce(F.pmod("page", "salts"), F.lit(0)).cast("int")).drop("salts")
 
     def infer(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper = Wrapper()
-        for tokens in pdf.drop_duplicates("page").sort_values("page")["tokens"]:  # copies count once
-            wrapper.align_page(list(map(int, tokens)))
-        return _row(key[0], int(key[1]), wrapper)
+        for tokens in pdf.sort_values("page")["token"]:
+            wrapper.align_page(tokens.tolist())
+        return _dump(key[0], key[1], wrapper)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         wrapper = None
         for row in pdf.sort_values("salt").itertuples():
-            part = Wrapper.load(row.pages, row.nodes)
             if wrapper is None:
-                wrapper = part
+                wrapper = _load(row)
             else:
-                wrapper.merge(part)
-        return _row(key[0], int(key[1]), wrapper)
+                wrapper.merge(_load(row))
+        return _dump(key[0], key[1], wrapper)
 
-    schema = f"host string, salt int, pages int, nodes {_NODES}"
-    wrappers = lines.groupBy("host", "salt").applyInPandas(infer, schema)
+    wrappers = scattered(salted, "host", "salt").groupBy("host", "salt").applyInPandas(infer, _PART)
     groups = math.ceil(largest / GROUP)
     while groups > 1:
-        wrappers = wrappers.groupBy("host", F.floor(F.col("salt") / FAN).cast("int").alias("salt")).applyInPandas(merge, schema)
+        wrappers = wrappers.groupBy("host", F.floor(F.col("salt") / FAN).cast("int").alias("salt")).applyInPandas(merge, _PART)
         groups = math.ceil(groups / FAN)
-    return wrappers.drop("salt")
 
-
-def templates(wrappers: DataFrame) -> DataFrame:
-    """(host, tokens, heads): the template tokens of each wrapper in order, and those that head a group of titles."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [Wrapper.load(r.pages, r.nodes) for r in pdf.itertuples()]
-            yield pd.DataFrame({"host": pdf["host"], "tokens": [w.template() for w in found], "heads": [w.group_heads() for w in found]})
-
-    return wrappers.mapInPandas(run, "host string, tokens array<bigint>, heads array<bigint>")
-
-
-# Slots that are rare on every host, by their form. The words are those of site controls.
-_CONTROL = re.compile(
-    r"(?:print(?: this)?(?: page| article)?|роздрукувати(?: сторінку)?|друкувати|версія для друку|распечатать(?: страницу)?|версия для печати|drukuj(?: stronę)?|wydrukuj|tipărește(?: pagina)?|tipăriți|imprimă)|"
-    r"(?:advert(?:isement|ising)?|sponsored|реклама|на правах реклами|reklama|publicitate|ogłoszenie)|"
-    r"(?:skip to (?:main |the )?(?:content|navigation)|перейти до (?:основного |головного )?(?:вмісту|змісту|контенту)|перейти к (?:основному )?(?:содержанию|контенту)|przejdź do (?:głównej )?(?:treści|nawigacji)|(?:salt|sari|salt[iî]) la conținut\w*)|"
-    r"(?:page|сторінка|страница|strona|pagina) # (?:of|з|із|из|z|din) #|"
-    r"(?:previous|prev|← ?previous|попередня|назад|предыдущая|poprzednia|wstecz|înapoi|anterior\w*) ?[|/·—-]? ?(?:next|наступна|далі|вперед|вперёд|следующая|następna|dalej|înainte|următor\w*) ?[→»>]*|"
-    r"(?:# (?:comments?|views|shares)|(?:comments?|коментар\w*|комментар\w*|komentarz\w*|comentarii|views|page views|переглядів|просмотров|wyświetlenia|vizualizări|odsłony):? #|leave a comment|залишити коментар)|"
-    r"(?:is|was) this (?:page|article|guide) (?:useful|helpful)\W*(?:yes\W+no)?|чи була ця (?:сторінка|стаття) корисною\W*(?:так\W+ні)?|была ли (?:эта )?(?:страница|статья) полезн\w+\W*(?:да\W+нет)?|czy ta strona była pomocna\W*(?:tak\W+nie)?|(?:v-a fost utilă|a fost utilă) (?:această )?pagin\w+\W*(?:da\W+nu)?|"
-    r"(?:show|load|read|see) more|показати (?:більше|ще)|показать (?:больше|ещё|еще)|pokaż więcej|(?:arată|afișează|vezi) mai mult(?:e)?|"
-    r"(?:accept|allow|reject|decline)(?: all)?(?: cookies)?|прийняти (?:всі|усі)(?: cookie)?|відхилити (?:всі|усі)|принять все|отклонить все|akceptuję (?:wszystkie|wszystko)|odrzuć wszystkie|accept(?:ă|ați)? toate|"
-    r"(?:manage|change)(?: cookie)? (?:choices|settings|preferences)|налаштувати|настроить|ustawienia|back to top|(?:на|до) ?гори|угору|наверх|do góry|sus|"
-    r"(?:last )?updated:? #.#.#(?: at #:#)?|оновлено:? #.#.#(?: о #:#)?|обновлено:? #.#.#(?: в #:#)?|aktualizacja:? #.#.#(?:, godz\. #:#)?|actualizat:? #.#.#(?:, ora #:#)?|"
-    r"(?:reading time|час читання|время чтения|czas czytania|timp de citire):? # \w+"
-)
-_TAGS = re.compile(r"(?:tags?|topics|keywords|теги|мітки|ключові слова|тэги|метки|ключевые слова|tagi|słowa kluczowe|etichete|cuvinte cheie)\s*:", re.IGNORECASE)
-_HOME = re.compile(r"(?:home|main page|головна|на головну|главная|strona główna|acasă|prima pagină)", re.IGNORECASE)
-_CRUMB = re.compile(r"\s[›»>→/]\s")
-_RELATED = re.compile(
-    r"(?:read (?:next|also|more)|see also|related (?:guides|articles|pages|links|posts)|popular (?:this week|now|articles|guides)|most read|you may also like|more on this(?: topic)?|"
-    r"читайте (?:також|ще|далі)|популярне(?: за тиждень| зараз)?|схожі (?:матеріали|статті)|пов.язані матеріали|дивіться також|вас може зацікавити|"
-    r"читайте (?:также|далее)|популярное(?: за неделю)?|похожие (?:материалы|статьи)|смотрите также|вам может быть интересно|"
-    r"czytaj (?:dalej|także|też|również)|popularne(?: w tym tygodniu)?|podobne (?:artykuły|materiały)|zobacz (?:też|także|również)|polecane(?: artykuły)?|"
-    r"citiți (?:și|de asemenea)|articole (?:similare|conexe|populare)|popular\w*(?: săptămâna aceasta| în această săptămână)?|vezi și|cele mai citite)"
-)
-_MARKS = " \t›»→•*·-–—>#"
-_BULLET = re.compile(r"\s*([›»→•*·\-–—>▪‣]*)\s*")
-_BULLETS = frozenset("›»→•*·-–—>▪‣")
-_ENDS_SENTENCE = re.compile(r"[.;!?…:,]\s*$")
-
+            found = [(row.host, row.pages, c, w.template(set(c))) for row in pdf.itertuples() if (c := (w := _load(row)).candidates())]
+            yield pd.DataFrame(found, columns=["host", "pages", "tokens", "places"])
 
-def _is_title(line: str, form: str) -> bool:
-    return len(form) <= 160 and not _ENDS_SENTENCE.search(line)
-
-
-def furniture_lines(text: str, host: str | None, template, heads=frozenset()) -> list[int]:
-    """The numbers of the non-empty lines that are not the page's own content."""
-    low_host = host.lower() if host else None
-    out: list[int] = []
-    group: str | None = None  # the bullet of the related-pages group being read
-    for k, line in enumerate(text.split("\n")):
-        if not line or line.isspace():
-            continue
-        form = token(line, low_host)
-        if not form:
-            continue
-        if len(form) > LONGEST:  # template or text, no form of a control
-            if template and token_hash(form) in template:
-                out.append(k)
-            group = None
-            continue
-        known, kind = _forms.get(form) or _look_up(form)
-        if kind == _IS_RELATED:
-            out.append(k)
-            group = ""
-            continue
-        if kind == _IS_CONTROL or known in template or ":" in line and _TAGS.match(line.lstrip(_MARKS)):
-            out.append(k)
-            group = "bulleted" if known in heads else None
-            continue
-        crumbs = len(_CRUMB.findall(line)) if any(x in line for x in "›»>→/") else 0
-        if crumbs >= 2 or crumbs == 1 and _HOME.match(line.lstrip(_MARKS)):
-            out.append(k)
-            group = None
-            continue
-        if group is not None:
-            bullet = _BULLET.match(line)[1]
-            if _is_title(line, form) and (group == "" or bullet == group or group == "none" and not bullet or group == "bulleted" and bullet):
-                out.append(k)
-                group = bullet or "none"
-                continue
-            group = None
-    return out
-
-
-def page_furniture(pages: DataFrame, wrappers: DataFrame | None = None, skip_residue_of: tuple[str, ...] = ("documents",)) -> DataFrame:
+    found = checkpointed(wrappers.mapInPandas(candidates, "host string, pages int, tokens array<bigint>, places array<bigint>"))
+    # lossy counts are only bounds: the candidates' pages are counted
+    pages = distinct.join(_small(found.select("host", "tokens"), "tokens"), "host").select("host", F.explode(F.array_intersect("token", "tokens")).alias("t"))
+    counted = pages.groupBy("host", "t").count().join(_small(found.select("host", "pages"), None), "host")
+    enough = counted.where((F.col("count") >= LEAST_PAGES) & (F.col("count") >= SUPPORT * F.col("pages"))).groupBy("host").agg(F.collect_list("t").alias("enough"))
+    kept = found.join(enough, "host").select("host", "pages", F.filter("places", lambda t: F.array_contains("enough", t)).alias("places"))
+    return kept.where(F.size("places") > 0)
+
+
+def _small(df: DataFrame, places: str | None) -> DataFrame:
+    """The table marked for broadcast if its rows, and the places in them, are few enough."""
+    n, m = df.agg(F.count(F.lit(1)), F.sum(F.size(places)) if places else F.lit(0)).collect()[0]
+    return F.broadcast(df) if n <= MOST_ROWS and (m or 0) <= MOST_PLACES else df
+
+
+HEAD, LABEL, LINE = 0, 1, 2
+
+
+def furniture(tokens: list[int], labels: list[int], styles: list[int], at: dict[int, list[int]], slots: dict[int, int] | None = None) -> tuple[set[int], set[int]]:
+    """(aligned, furniture): positions of a page's lines, by its host's places and the slots resolved so far (a bit mask by hash)."""
+    aligned = {position for position, _ in align(tokens, at)} if at else set()
+    found = set(aligned)
+    if slots:
+        for k, (t, name) in enumerate(zip(tokens, labels)):
+            if k not in found and (slots.get(t, 0) >> LINE & 1 or name and slots.get(name, 0) >> LABEL & 1):
+                found.add(k)
+        for k in sorted(found):
+            if slots.get(tokens[k], 0) >> HEAD & 1:
+                found.update(range(k + 1, k + 1 + titles_behind(styles, found, k)))
+    return aligned, found
+
+
+def titles_behind(styles: list[int], known: set[int], k: int) -> int:
+    """How many lines shaped like titles, alike in their bullets, stand right behind a line."""
+    j = k + 1
+    while j < len(styles) and j not in known and styles[j] and styles[j] == styles[k + 1]:
+        j += 1
+    return j - k - 1
+
+
+def _with_places(read: DataFrame, templates: DataFrame) -> DataFrame:
+    return read.join(_small(templates.select("host", "places"), "places"), "host", "left")
+
+
+class _Slots:
+    """Resolved slots, (hash, kinds): sent to the executors if they are few, else joined with the pages they stand on."""
+
+    def __init__(self, found: DataFrame | None):
+        self.found, self.shared = found, None
+        if found is not None and found.count() <= MOST_PLACES:
+            self.shared = found.sparkSession.sparkContext.broadcast({r.hash: r.kinds for r in found.toLocalIterator()})
+
+    def added(self, read: DataFrame) -> DataFrame:
+        if self.found is None or self.shared is not None:
+            return read.withColumn("own", F.lit(None).cast("map<bigint,int>"))
+        stand = read.select("rec_table", "rec_id", F.explode(F.array_distinct(F.concat("token", "label"))).alias("hash")).distinct()
+        own = stand.join(self.found, "hash").groupBy("rec_table", "rec_id").agg(F.map_from_entries(F.collect_list(F.struct("hash", "kinds"))).alias("own"))
+        return read.join(own, ["rec_table", "rec_id"], "left")
+
+
+def _over_pages(read: DataFrame, slots: _Slots, each, schema: str) -> DataFrame:
+    """``each(rows, result)`` over the batches; a row is (rec_table, rec_id, kept, line_no, tokens, labels, aligned, furniture, styles)."""
+    shared, names = slots.shared, [c.split()[0] for c in schema.split(", ")]
+    types = [{"string": pa.string(), "bigint": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, dict[int, list[int]]] = {}
+        for batch in batches:
+            rows = []
+            columns = ("rec_table", "rec_id", "host", "kept", "line_no", "token", "label", "style", "places", "own")
+            for rec_table, rec_id, host, kept, numbers, tokens, labels, styles, places, own in zip(*(batch.column(c).to_pylist() for c in columns)):
+                at = known.get(host)
+                if at is None:
+                    if len(known) > 10_000:
+                        known.clear()
+                    at = known[host] = places_of(places or [])
+                aligned, found = furniture(tokens, labels, styles, at, shared.value if shared else dict(own) if own else None)
+                rows.append((rec_table, rec_id, kept, numbers, tokens, labels, aligned, found, styles))
+            out: list[list] = [[] for _ in names]
+            each(rows, out)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+
+    return slots.added(read).mapInArrow(run, schema)
+
+
+def _wilson(k, n):
+    """The lower bound of a share of k in n."""
+    z = CERTAINTY
+    p = k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _resolve(read: DataFrame, slots: _Slots, kinds: tuple[int, ...]) -> DataFrame:
+    """(hash, kinds) of the slots of some kinds, from counts over all pages."""
+
+    def count(rows: list[tuple], out: list[list]) -> None:
+        seen: dict[tuple[int, int], list[int]] = {}
+
+        def add(kind: int, name: int, yes: bool) -> None:
+            n = seen.setdefault((kind, name), [0, 0])
+            n[0] += 1
+            n[1] += yes
+
+        for _, _, _, _, tokens, labels, aligned, found, styles in rows:
+            first = next((k for k in range(len(tokens)) if k not in found), None)  # where the page's title stands
+            for k, t in enumerate(tokens):
+                if k in aligned:
+                    if HEAD in kinds and k + 1 != first:
+                        add(HEAD, t, titles_behind(styles, found, k) >= 2)
+                elif k not in found:
+                    beside = k - 1 in found or k + 1 in found
+                    if LINE in kinds and k != first:
+                        add(LINE, t, beside)
+                    if LABEL in kinds and labels[k] and (k != first or labels[k] & 1):
+                        add(LABEL, labels[k], beside)
+        for (kind, name), (n, yes) in seen.items():
+            for column, value in zip(out, (kind, name, n, yes)):
+                column.append(value)
+
+    counts = _over_pages(read, slots, count, "kind int, hash bigint, n bigint, yes bigint").groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
+    n, yes = F.col("n").cast("double"), F.col("yes").cast("double")
+    good = F.when(F.col("kind") == HEAD, (n >= LEAST_PAGES) & (yes >= HEADS * n)).otherwise((n >= LEAST_SEEN) & (_wilson(yes, n) >= BESIDE))
+    return counts.where(good).groupBy("hash").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("kind"))).cast("int").alias("kinds"))
+
+
+def page_furniture(pages: DataFrame, skip_residue_of: tuple[str, ...] = ("documents",)) -> DataFrame:
     """(rec_table, rec_id, line_no) of the lines that are not the page's own content.
 
     Tables in ``skip_residue_of`` come out without the cases of problem 10.
     """
-    spread_pages = spread(pages)
-    known = checkpointed(templates(infer_wrappers(spread_pages) if wrappers is None else wrappers))
-    nodes = known.agg(F.sum(F.size("tokens"))).collect()[0][0] or 0
-    schema = "rec_table string, rec_id bigint, line_no bigint"
-
-    def found(pdf: pd.DataFrame, of) -> pd.DataFrame:
-        out = []
-        for rec_table, rec_id, host, text, own in zip(pdf["rec_table"], pdf["rec_id"], pdf["host"], pdf["text"], of(pdf)):
-            if text and not (rec_table in skip_residue_of and is_residue(text)):
-                out += [(rec_table, rec_id, k) for k in furniture_lines(text, host, *own)]
-        return pd.DataFrame(out, columns=["rec_table", "rec_id", "line_no"])
-
-    if nodes <= MOST_BROADCAST:
-        shared = pages.sparkSession.sparkContext.broadcast({r.host: (frozenset(r.tokens), frozenset(r.heads)) for r in known.toLocalIterator()})
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                yield found(pdf, lambda p: (shared.value.get(h, ()) or (frozenset(),) for h in p["host"]))
-
-        return spread_pages.mapInPandas(run, schema)
-
-    def run_joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield found(pdf, lambda p: ((frozenset(t), frozenset(h)) if t is not None else (frozenset(),) for t, h in zip(p["tokens"], p["heads"])))
-
-    return spread_pages.join(known, "host", "left").mapInPandas(run_joined, schema)
+    read = checkpointed(streams(pages, skip_residue_of))
+    placed = _with_places(read, checkpointed(infer_wrappers(read)))
+    groups = checkpointed(_resolve(placed, _Slots(None), (HEAD, LABEL)))
+    lines = _resolve(placed, _Slots(groups), (LINE,))
+    slots = _Slots(checkpointed(groups.unionByName(lines).groupBy("hash").agg(F.bit_or("kinds").alias("kinds"))))
+
+    def extract(rows: list[tuple], out: list[list]) -> None:
+        for rec_table, rec_id, kept, numbers, _, _, _, found, _ in rows:
+            if kept:
+                for k in sorted(found):
+                    for column, value in zip(out, (rec_table, rec_id, numbers[k])):
+                        column.append(value)
+
+    return _over_pages(placed, slots, extract, "rec_table string, rec_id bigint, line_no bigint")
 
 
 def main_content(pages: DataFrame, **options) -> DataFrame:

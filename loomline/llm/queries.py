@@ -77,8 +77,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = boilerplate.templates(boilerplate.infer_wrappers(_pages(spark, sf_dir)))
-    return found.select("host", F.size("tokens").alias("n_template_lines"))
+    found = boilerplate.infer_wrappers(boilerplate.streams(_pages(spark, sf_dir)))
+    return found.select("host", "pages", F.size("places").alias("n_places"), F.size(F.array_distinct("places")).alias("n_template_lines"))
 
 
 def p2_main(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,36 +27,71 @@ def _pages(host, count, seed):
     return [_page(rng, host, n) for n in range(count)]
 
 
+def _learn(texts, host):
+    w = B.Wrapper()
+    for text in texts:
+        w.align_page([t for _, t, _, _ in B.stream(text, host)])
+    return w
+
+
+def _furniture(text, host, order, slots=None):
+    numbers, tokens, labels, styles = zip(*B.stream(text, host))
+    return {numbers[k] for k in B.furniture(tokens, labels, styles, B.places_of(order), slots)[1]}
+
+
 def test_lines_of_a_host_are_told_apart():
     host = "one.example"
     pages = _pages(host, 200, 1)
-    w = B.Wrapper()
-    for text, _ in pages:
-        w.align_page(B.stream(text, host))
-    template = frozenset(w.template())
-    assert len(template) == 4
+    w = _learn([t for t, _ in pages], host)
+    order = w.template(set(w.candidates()))
+    assert len(set(order)) == 4
     for text, own in pages:
-        assert set(range(len(text.split("\n")))) - set(own) == set(B.furniture_lines(text, host, template))
+        assert set(range(len(text.split("\n")))) - set(own) == _furniture(text, host, order)
+
+
+def test_the_place_of_a_line_decides():
+    """A line of the template out of its place is text; shuffled pages lose lines."""
+    host, rng = "one.example", random.Random(9)
+    pages = [t for t, _ in _pages(host, 200, 1)]
+    w = _learn(pages, host)
+    order = w.template(set(w.candidates()))
+    whole = "\n".join([NAV, BY.format(h=host), "Own text.", SHARE.format(h=host), LEGAL.format(y=2020, h=host)])
+    assert _furniture(whole, host, order) == {0, 1, 3, 4}
+    turned = "\n".join(whole.split("\n")[::-1])
+    assert len(_furniture(turned, host, order)) == 1
+    before, after = 0, 0
+    for text in pages:
+        lines = text.split("\n")
+        rng.shuffle(lines)
+        before, after = before + len(_furniture(text, host, order)), after + len(_furniture("\n".join(lines), host, order))
+    assert after < 0.8 * before
+
+
+def test_a_token_has_several_places():
+    host, rng = "one.example", random.Random(3)
+    cookies, menu, legal = "We use cookies", "Home | News", "All rights reserved"
+    texts = []
+    for n in range(300):
+        head = [cookies, menu] if rng.random() < 0.5 else [menu, cookies]
+        foot = [legal, cookies] if rng.random() < 0.2 else [legal]
+        texts.append("\n".join([*(head if len(foot) == 1 else [menu]), f"Text {rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)}.", *foot]))
+    w = _learn(texts, host)
+    order = w.template(set(w.candidates()))
+    assert len(order) > len(set(order)) == 3
+    assert all(len(_furniture(t, host, order)) == len(t.split("\n")) - 1 for t in texts)
 
 
 def test_merging_parts_gives_the_template_of_the_whole():
     host = "two.example"
-    pages = [B.stream(t, host) for t, _ in _pages(host, 1200, 2)]
-    whole = B.Wrapper()
-    for p in pages:
-        whole.align_page(p)
-    parts = []
-    for k in range(0, 1200, 100):
-        part = B.Wrapper()
-        for p in pages[k : k + 100]:
-            part.align_page(p)
-        parts.append(part)
+    texts = [t for t, _ in _pages(host, 1200, 2)]
+    whole = _learn(texts, host)
+    parts = [_learn(texts[k : k + 100], host) for k in range(0, 1200, 100)]
     merged = parts[0]
     for p in parts[1:]:
-        merged.merge(p)
+        merged.merge(B._load(next(B._dump("h", 0, p).itertuples())))
     assert merged.pages == whole.pages == 1200
-    assert set(merged.template()) == set(whole.template())
-    assert len(merged.nodes) < 400  # rare tokens fall back into slots
+    assert set(merged.template(set(merged.candidates()))) == set(whole.template(set(whole.candidates())))
+    assert len(merged.tokens) < 400 and len(merged.places) < 400  # rare tokens fall back into slots
 
 
 def test_counts_are_short_by_the_error_at_most():
@@ -69,12 +104,52 @@ def test_counts_are_short_by_the_error_at_most():
         w.align_page(page)
     for t in range(1, 30):
         if truth[t] > 2 * B.ERROR * 2000:
-            assert truth[t] - B.ERROR * 2000 <= w.nodes[t][0] <= truth[t]
+            assert truth[t] - B.ERROR * 2000 <= w.tokens[t][0] <= truth[t] <= sum(w.tokens[t])
+
+
+def test_labels():
+    assert [B.label(B.token(x, None)) for x in ("Tags: moving, house", "Home › News › How to move", "A sentence. Then: more", "Nothing", "12:30 at noon")] == ["tags:", "home ›", None, None, None]
+
 
+def test_slots_are_learned_from_what_stands_around_them(spark):
+    """Labelled lines, groups of titles and lines too rare for a place; the same words in the text are no furniture."""
+    host, rng, rows, want = "four.example", random.Random(6), [], set()
+    for n in range(400):
+        some = lambda k: " ".join(rng.choice(WORDS) for _ in range(k))
+        lines, furniture = [], []
 
-def test_rare_slots_by_form():
-    text = "Skip to main content\nHome › News › How to move\nAll about moving house.\nTags: moving, house\nRead next\n› How to pay\n› Where to ask\nThe next paragraph ends here.\nIn short\nPage 3 of 9\nAdvertisement"
-    assert B.furniture_lines(text, "x.example", frozenset()) == [0, 1, 3, 4, 5, 6, 9, 10]
+        def add(line, is_furniture):
+            if is_furniture:
+                furniture.append(len(lines))
+            lines.append(line)
+
+        add(NAV, True)
+        prints = rng.random()
+        if prints < 0.03:
+            add("Print it", True)
+        if rng.random() < 0.3:
+            add(f"Home › {some(1)} › {some(3)}", True)
+        add(f"All about {some(3)}", False)
+        add(f"What to bring {some(2)}", False)
+        add(f"• {some(6)}.", False)
+        add(f"• {some(6)};", False)
+        add(f"Note: {some(9)}.", False)
+        add(f"{some(9).capitalize()}.", False)
+        add(f"Note: {some(9)}.", False)
+        add(f"{some(9).capitalize()}.", False)
+        if rng.random() < 0.5:
+            add("From our other desks", True)
+            for _ in range(3):
+                add(f"{'› ' if n % 2 else ''}{some(3)}", True)
+        if rng.random() < 0.3:
+            add(f"Tags: {some(2)}", True)
+        if prints > 0.97:
+            add("Print it", True)
+        add(f"© {host}", True)
+        rows.append(("documents", n, host, "\n".join(lines)))
+        want |= {("documents", n, k) for k in furniture}
+    pages = spark.createDataFrame(rows, "rec_table string, rec_id bigint, host string, text string")
+    assert {tuple(r) for r in B.page_furniture(pages).collect()} == want
 
 
 def test_found_over_salted_groups(spark, monkeypatch):
@@ -90,7 +165,8 @@ def test_found_over_salted_groups(spark, monkeypatch):
         for k, (text, own) in enumerate(_pages(host, count, seed)):
             want |= {(table, k, n) for n in range(len(text.split("\n"))) if n not in own}
     assert got == want
-    monkeypatch.setattr(B, "MOST_BROADCAST", -1)  # the way without a broadcast gives the same
+    monkeypatch.setattr(B, "MOST_ROWS", -1)  # the way without a broadcast gives the same
+    monkeypatch.setattr(B, "MOST_PLACES", -1)
     assert {(r.rec_table, r.rec_id, r.line_no) for r in B.page_furniture(pages).collect()} == want
     clean = {(r.rec_table, r.rec_id): (r.text, r.n_removed) for r in B.main_content(pages).collect()}
     text, own = _pages("hot.example", 300, 4)[7]
@@ -99,34 +175,22 @@ def test_found_over_salted_groups(spark, monkeypatch):
     assert B.page_furniture(pages.limit(0)).count() == 0
 
 
-def test_titles_behind_a_learned_head_are_furniture():
-    host, rng, w, pages = "four.example", random.Random(6), B.Wrapper(), []
-    for n in range(60):
-        lines = [NAV, "What to bring", "• " + " ".join(rng.choice(WORDS) for _ in range(6)) + ".", "• a copy of the letter;", f"All about {rng.choice(WORDS)} {rng.choice(WORDS)}."]
-        lines += ["From our other desks"] + [f"› {rng.choice(WORDS)} {rng.choice(WORDS)} {rng.choice(WORDS)}" for _ in range(3)]
-        pages.append("\n".join(lines))
-        w.align_page(B.stream(pages[-1], host))
-    half = B.Wrapper()
-    half.merge(B.Wrapper.load(w.dump()[0], [dict(zip(B._FIELDS, n)) for n in w.dump()[1]]))
-    for wrapper in (w, half):
-        heads = frozenset(wrapper.group_heads())
-        assert heads == {B.token_hash("from our other desks")}
-        for text in pages:
-            assert {5, 6, 7, 8} <= set(B.furniture_lines(text, host, frozenset(wrapper.template()), heads))
-            assert 2 not in B.furniture_lines(text, host, frozenset(wrapper.template()), heads)
-
-
 def test_long_lines_are_template_too():
     host, legal = "three.example", "We use cookies on three.example and www.other.example. " + "They keep this page working for every reader. " * 9
-    assert len(legal) > B.LONGEST
+    assert len(legal) > B.LONG
     texts = [f"Menu\n{' '.join([word] * 80)}.\n{legal}" for word in WORDS[:3]]  # pages that differ in a long line only
-    pages = {tuple(B.stream(t, host)) for t in texts}
-    assert len(pages) == 3
-    w = B.Wrapper()
-    for p in pages:
-        w.align_page(list(p))
+    w = _learn(texts, host)
+    order = w.template(set(w.candidates()))
     for t in texts:
-        assert B.furniture_lines(t, host, frozenset(w.template())) == [0, 2]
+        assert _furniture(t, host, order) == {0, 2}
+
+
+def test_copies_count_once(spark):
+    """A page copied many times is one page of its host."""
+    rows = [("documents", k, "a.example", "Menu\nThe very same text.\nEnd") for k in range(50)]
+    rows += [("documents", 100 + k, "a.example", f"Menu\n{w} {w}.\nEnd") for k, w in enumerate(WORDS[:8])]
+    pages = spark.createDataFrame(rows, "rec_table string, rec_id bigint, host string, text string")
+    assert {(r.rec_id, r.line_no) for r in B.page_furniture(pages).collect()} == {(i, k) for _, i, _, _ in rows for k in (0, 2)}
 
 
 def test_a_long_run_without_spaces_takes_one_pass():
