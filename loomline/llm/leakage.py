@@ -9,20 +9,24 @@ window of its own size). A part contained in a window then has a Jaccard similar
 0 whatever the document's length, and ``PERMUTATIONS`` minima find it: a window is a
 candidate for an item if they share at least one minimum. Candidates that share fewer shingles
 than the worst passage that counts (``least_left``) are dropped, as they can hold none; the
-rest is decided by aligning the item's words with the document.
+rest is decided by aligning the item's words with the document: first by exact stretches,
+then, where these do not suffice, word by word around them.
 
-The items are broadcast in blocks of at most ``BLOCK`` items, so what is broadcast is
-bounded; the documents are read once a block in one map stage, without a shuffle. Null and
-empty documents and items have no rows; repeated documents have repeated results.
+Items whose letters are few enough (``MOST_LETTERS``, measured) are broadcast, and the
+documents are read once in one map stage, without a shuffle. More items stay a table: the
+minima of both sides are joined on (permutation, value), with values salted, and the
+documents of the candidates are joined again to be aligned. Both ways give the same rows.
+
+Null and empty documents and items have no rows; repeated documents have repeated results,
+repeated items one. An item of fewer letters than a shingle is found where all its letters stand in
+a row. A passage that counts but has fewer exact letters in a row than a shingle is not told from chance.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -38,12 +42,13 @@ SHINGLE, PART = 12, 160
 PERMUTATIONS = 32
 #: Letters of the documents looked at in one step.
 STEP_LETTERS = 2_000_000
-#: Items broadcast at once.
-BLOCK = 20_000
+#: Letters of all items that are broadcast; beyond, minima are joined, in so many salts a value.
+MOST_LETTERS, SALTS = 5_000_000, 8
 #: Letters an exact stretch of the alignment has at least; mean letters of a word, to count added words.
 SEED, WORD_LETTERS = 8, 6.0
+#: Letters between two words of one run at most; letters of a word that counts away from its neighbours.
+REACH, SOLID = 80, 3
 
-_WORD = re.compile(r"[^\W_]+(?:['’ʼ`­​-‍⁠-]+[^\W_]+)*")
 _rng = np.random.default_rng(20240229)
 _MULTIPLIERS = _rng.integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -111,19 +116,27 @@ class Item:
     """A test item prepared for the alignment."""
 
     def __init__(self, key, text: str, share: float = SHARE):
-        self.key, parts = key, [fold(w) for w in _WORD.findall(text)]
+        self.key, parts = key, [fold(w) for w in text.split()]
         parts = [p for p in parts if p]
         self.text = "".join(parts)
         ends = np.cumsum([len(p) for p in parts]).tolist()
         self.spans = list(zip([0, *ends[:-1]], ends))
-        self.seeds: dict[str, list[int]] = {}
-        for k in range(len(self.text) - SEED + 1):
-            self.seeds.setdefault(self.text[k : k + SEED], []).append(k)
+        self.need = max(1, math.ceil(share * len(parts) - 1e-9))
+        self._seeds: dict[str, list[int]] | None = None
         every = shingle_hashes(np.frombuffer(self.text.encode("utf-32-le"), np.uint32))
         self.hashes = np.unique(every)
         shingles, self.least_letters = least_left([len(p) for p in parts], share)
         self.least_shingles = shingles - (len(every) - len(self.hashes))  # repeated ones count once
 
+    @property
+    def seeds(self) -> dict[str, list[int]]:
+        """Where each stretch of SEED letters stands; made for the items that become candidates."""
+        if self._seeds is None:
+            self._seeds = {}
+            for k in range(len(self.text) - SEED + 1):
+                self._seeds.setdefault(self.text[k : k + SEED], []).append(k)
+        return self._seeds
+
     def stretches(self, doc: str) -> list[tuple[int, int, int]]:
         """(item start, document start, length) of the maximal exact stretches of at least SEED letters."""
         done: dict[int, int] = {}
@@ -169,7 +182,70 @@ class Item:
                 used.add(j)
                 j = back[j]
             longest = max(longest, self._run(chain[::-1]), key=lambda r: (r[0], -r[1]))
-        return longest
+        return longest if longest[0] >= self.need else max(longest, self._word_run(doc, blocks), key=lambda r: (r[0], -r[1]))
+
+    def _word_run(self, doc: str, blocks: list[tuple[int, int, int]]) -> tuple[int, int]:
+        """The longest run found by aligning single words in the parts of the document the stretches lie in."""
+        size = len(self.text)
+        regions: list[list[int]] = []  # [start, end, exact shingles]
+        for a, p, n in sorted(blocks, key=lambda b: b[1] - b[0]):
+            start, end = p - a - size // 4 - REACH, p - a + size + size // 4 + REACH
+            shingles = max(0, n - SHINGLE + 1)
+            if regions and start <= regions[-1][0] + 2 * REACH:
+                regions[-1][1] = max(regions[-1][1], end)
+                regions[-1][2] += shingles
+            else:
+                regions.append([start, end, shingles])
+        found = (0, 0)
+        for start, end, shingles in regions:
+            if shingles >= max(1, self.least_shingles):
+                found = max(found, self._word_run_in(doc[max(start, 0) : max(end, 0)]), key=lambda r: (r[0], -r[1]))
+        return found
+
+    def _word_run_in(self, part: str) -> tuple[int, int]:
+        where: dict[str, list[int]] = {}
+        matches = []  # (document start, item word, document end)
+        for k, (a, b) in enumerate(self.spans):
+            word = self.text[a:b]
+            at = where.get(word)
+            if at is None:
+                at, p = where.setdefault(word, []), part.find(word)
+                while p >= 0:
+                    at.append(p)
+                    p = part.find(word, p + 1)
+            matches += [(p, k, p + b - a) for p in at]
+        starts, ends = {(p, k) for p, k, _ in matches}, {(end, k) for _, k, end in matches}
+        # a short word alone may be found by chance: no run begins or ends with it
+        matches = sorted((p, k, end, end - p >= SOLID or (end, k + 1) in starts or (p, k - 1) in ends) for p, k, end in matches)
+        most = len(self.spans) // WORDS_AN_ERROR
+        runs: list[dict[int, int]] = []  # for each match, errors of a run that ends with it: its first item word
+        top, low = (0, 0), 0
+        for j, (p, k, _, solid) in enumerate(matches):
+            while matches[low][0] < p - 2 * REACH:
+                low += 1
+            own = {0: k} if solid else {}
+            for i in range(low, j):
+                _, m, end, _ = matches[i]
+                skipped, more = k - m - 1, p - end
+                if skipped < 0 or skipped > most or more < 0 or more > REACH:
+                    continue
+                if skipped:
+                    gone = self.spans[k][0] - self.spans[m][1]
+                    errors = skipped + max(0, round((more - gone) / WORD_LETTERS) - skipped)
+                else:
+                    errors = max(1, round(more / WORD_LETTERS)) if more else 0
+                for e, first in runs[i].items():
+                    if e + errors <= most and first < own.get(e + errors, k + 1):
+                        own[e + errors] = first
+            kept, least = {}, k + 1
+            for e in sorted(own):
+                if own[e] < least:
+                    kept[e] = least = own[e]
+                    n = k - least + 1
+                    if solid and n > top[0] and e * WORDS_AN_ERROR <= n:
+                        top = (n, e)
+            runs.append(kept)
+        return top
 
     def _run(self, chain: list[tuple[int, int, int]]) -> tuple[int, int]:
         if not chain:
@@ -225,120 +301,192 @@ class Item:
         return top
 
 
+def item_minima(item: Item) -> np.ndarray:
+    """One row a permutation, one column a part of the item."""
+    hashes = shingle_hashes(np.frombuffer(item.text.encode("utf-32-le"), np.uint32))
+    parts = [hashes[s : s + PART] for s in range(0, max(1, len(hashes) - PART // 2), PART // 2)]
+    starts = np.cumsum([0, *(len(p) for p in parts[:-1])])
+    return _minima(np.concatenate(parts), starts)
+
+
+class Windows:
+    """The shingles of some texts, and the minima of their windows."""
+
+    def __init__(self, texts: list[str | None]):
+        hashes, starts, owner, offset = [], [], [], 0
+        self.spans: dict[int, tuple[int, int]] = {}
+        for d, text in enumerate(texts):
+            h = shingle_hashes(_codes(text)) if text else ()
+            if not len(h):
+                continue
+            self.spans[d] = (offset, offset + len(h))
+            own = np.arange(0, max(1, len(h) - PART // 2), PART)  # the last block takes a short rest
+            starts.append(own + offset)
+            owner.append(np.full(len(own), d))
+            hashes.append(h)
+            offset += len(h)
+        self.owner = np.concatenate(owner) if owner else np.empty(0, int)
+        self.hashes = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+        blocks = _minima(self.hashes, np.concatenate(starts)) if starts else np.empty((PERMUTATIONS, 0), np.uint64)
+        last = np.ones(len(self.owner), bool)
+        last[:-1] = self.owner[1:] != self.owner[:-1]
+        # a window is a block and the next one of the same document
+        self.minima = blocks.copy()
+        if blocks.shape[1]:
+            np.minimum(blocks[:, :-1], blocks[:, 1:], out=self.minima[:, :-1], where=~last[:-1])
+
+    def shingles(self, d: int) -> np.ndarray:
+        return np.sort(self.hashes[slice(*self.spans[d])])
+
+
+def judged(item: Item, shingles: np.ndarray, folded) -> tuple[float, int, int] | None:
+    """(containment, words in the run, errors) of an item in a document, None if no passage of it counts."""
+    at = np.minimum(np.searchsorted(shingles, item.hashes), len(shingles) - 1)
+    shared = np.count_nonzero(shingles[at] == item.hashes)
+    if shared < item.least_shingles:
+        return None
+    n, errors = item.best_run(folded())
+    return (shared / len(item.hashes), n, errors) if n >= item.need else None
+
+
 class Index:
-    """Minima of the parts of a block of items, and the items."""
+    """Minima of the parts of some items, and the items."""
 
     def __init__(self, rows: list[tuple], share: float = SHARE):
-        self.items = [item for item in (Item(k, t, share) for k, t in rows) if len(item.text) >= SHINGLE]
+        every = [Item(k, t, share) for k, t in rows]
+        self.items = [item for item in every if len(item.text) >= SHINGLE]
+        self.short = [item for item in every if 0 < len(item.text) < SHINGLE]
         minima: list[list[tuple[int, int]]] = [[] for _ in range(PERMUTATIONS)]
         for number, item in enumerate(self.items):
-            hashes = shingle_hashes(np.frombuffer(item.text.encode("utf-32-le"), np.uint32))
-            starts = range(0, max(1, len(hashes) - PART // 2), PART // 2)
-            for s in starts:
-                for k, m in enumerate(_minima(hashes[s : s + PART], np.array([0]))[:, 0]):
-                    minima[k].append((int(m), number))
+            for pairs, row in zip(minima, item_minima(item)):
+                pairs += [(int(m), number) for m in row]
         self.values, self.numbers = [], []
         for pairs in minima:
             pairs = sorted(set(pairs))
             self.values.append(np.array([v for v, _ in pairs], np.uint64))
             self.numbers.append(np.array([n for _, n in pairs], np.int64))
 
-    def candidates(self, minima: np.ndarray, block_doc: np.ndarray) -> set[tuple[int, int]]:
+    def candidates(self, windows: Windows) -> set[tuple[int, int]]:
         """(document number, item number) sharing a minimum."""
         found: set[tuple[int, int]] = set()
-        last = np.empty(len(block_doc), bool)
-        last[-1:] = True
-        last[:-1] = block_doc[1:] != block_doc[:-1]
-        for k in range(PERMUTATIONS):
-            values = minima[k]
-            window = values.copy()  # a window is a block and the next one of the same document
-            np.minimum(values[:-1], values[1:], out=window[:-1], where=~last[:-1])
-            at = np.searchsorted(self.values[k], window)
-            hit = np.flatnonzero((at < len(self.values[k])) & (self.values[k][np.minimum(at, len(self.values[k]) - 1)] == window))
-            for h in hit.tolist():
-                v, j = window[h], at[h]
-                while j < len(self.values[k]) and self.values[k][j] == v:
-                    found.add((int(block_doc[h]), int(self.numbers[k][j])))
+        for values, numbers, minima in zip(self.values, self.numbers, windows.minima):
+            if not len(values):
+                continue
+            at = np.searchsorted(values, minima)
+            for h in np.flatnonzero(values[np.minimum(at, len(values) - 1)] == minima).tolist():
+                v, j = minima[h], at[h]
+                while j < len(values) and values[j] == v:
+                    found.add((int(windows.owner[h]), int(numbers[j])))
                     j += 1
         return found
 
     def leaks(self, texts: list[str | None]) -> list[tuple[int, object, float, int, int]]:
         """(document number, item id, containment, words in the run, errors) of the leaks into the texts."""
-        hashes, starts, owner, offset, per_doc = [], [], [], 0, {}
-        for d, text in enumerate(texts):
-            if not text:
-                continue
-            h = shingle_hashes(_codes(text))
-            if not len(h):
-                continue
-            per_doc[d] = (offset, offset + len(h))
-            own = np.arange(0, max(1, len(h) - PART // 2), PART)  # the last block takes a short rest
-            starts.append(own + offset)
-            owner.append(np.full(len(own), d))
-            hashes.append(h)
-            offset += len(h)
-        if not hashes or not self.items:
-            return []
-        all_hashes = np.concatenate(hashes)
-        found = self.candidates(_minima(all_hashes, np.concatenate(starts)), np.concatenate(owner))
-        out, folded, own, of = [], {}, None, None
-        for d, number in sorted(found):
-            item = self.items[number]
-            if of != d:
-                of, own = d, np.sort(all_hashes[slice(*per_doc[d])])
-            at = np.minimum(np.searchsorted(own, item.hashes), len(own) - 1)
-            shared = np.count_nonzero(own[at] == item.hashes)
-            if shared < item.least_shingles:
-                continue
+        windows, out, folded, own, of = Windows(texts), [], {}, None, None
+
+        def text_of(d: int) -> str:
             if d not in folded:
                 folded[d] = fold(texts[d])
-            n, errors = item.best_run(folded[d])
-            out.append((d, item.key, shared / len(item.hashes), n, errors, len(item.spans)))
+            return folded[d]
+
+        for d, number in sorted(self.candidates(windows)):
+            if of != d:
+                of, own = d, windows.shingles(d)
+            found = judged(self.items[number], own, lambda: text_of(d))
+            if found:
+                out.append((d, self.items[number].key, *found))
+        if self.short:
+            for d, text in enumerate(texts):
+                out += [(d, item.key, 1.0, len(item.spans), 0) for item in self.short if text and item.text in text_of(d)]
         return out
 
 
 _made: dict[int, Index] = {}
 
 
-def _index(number: int, rows: list[tuple], share: float) -> Index:
-    key = hash((number, len(rows), rows[0], rows[-1], share))
+def _index(rows: list[tuple], share: float) -> Index:
+    key = hash((tuple(rows), share))
     if key not in _made:
+        _made.clear()  # one at a time is in use
         _made[key] = Index(rows, share)
     return _made[key]
 
 
+def _steps(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Slices of the texts that bound the arrays of one step, whatever the batch holds."""
+    first = 0
+    while first < len(texts):
+        last, letters = first, 0
+        while last < len(texts) and (last == first or letters + len(texts[last] or "") <= STEP_LETTERS):
+            letters += len(texts[last] or "")
+            last += 1
+        yield first, last
+        first = last
+
+
+def _by_broadcast(docs: DataFrame, items: DataFrame, share: float, schema: str) -> DataFrame:
+    rows = sorted(((r.k, r.t) for r in items.toLocalIterator()), key=lambda r: (r[0], r[1]))
+    shared = docs.sparkSession.sparkContext.broadcast(rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = _index(shared.value, share)
+        for pdf in batches:
+            ids, texts = pdf["i"].tolist(), pdf["t"].tolist()
+            out = [(ids[a + d], *rest) for a, b in _steps(texts) for d, *rest in index.leaks(texts[a:b])]
+            yield pd.DataFrame(out, columns=["i", "item", "containment", "run_words", "errors"])
+
+    return docs.mapInPandas(run, schema)
+
+
+def _by_join(docs: DataFrame, items: DataFrame, share: float, schema: str) -> DataFrame:
+    """The minima of both sides joined; a value that many windows have is spread over salts."""
+    kind, item_kind = docs.schema["i"].dataType.simpleString(), items.schema["k"].dataType.simpleString()
+
+    def of_items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(int(v), k) for k, t in zip(pdf["k"], pdf["t"]) for v in np.unique(item_minima(Item(k, t, share)).view(np.int64))]
+            yield pd.DataFrame(rows, columns=["value", "k"])
+
+    def of_docs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            ids, texts = pdf["i"].tolist(), pdf["t"].tolist()
+            for a, b in _steps(texts):
+                windows = Windows(texts[a:b])
+                out = [(ids[a + d], int(v)) for d in windows.spans for v in np.unique(windows.minima[:, windows.owner == d].view(np.int64))]
+                yield pd.DataFrame(out, columns=["i", "value"])
+
+    salted = items.mapInPandas(of_items, f"value bigint, k {item_kind}").select("value", "k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    seen = docs.mapInPandas(of_docs, f"i {kind}, value bigint").withColumn("salt", F.pmod(F.xxhash64("i"), F.lit(SALTS)).cast("int"))
+    pairs = seen.join(salted, ["value", "salt"]).select("i", "k").distinct()
+    rows = pairs.join(items.select("k", F.col("t").alias("item_text")), "k").join(docs, "i")
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[tuple, Item] = {}
+        for pdf in batches:
+            out = []
+            for i, t, k, item_text in zip(pdf["i"], pdf["t"], pdf["k"], pdf["item_text"]):
+                if len(known) > 2000:
+                    known.clear()
+                item = known.get((k, item_text)) or known.setdefault((k, item_text), Item(k, item_text, share))
+                found = judged(item, np.sort(shingle_hashes(_codes(t))), lambda: fold(t))  # noqa: B023
+                if found:
+                    out.append((i, k, *found))
+            yield pd.DataFrame(out, columns=["i", "item", "containment", "run_words", "errors"])
+
+    return rows.mapInPandas(judge, schema)
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", share: float = SHARE) -> DataFrame:
-    """(id, item_id, containment, run_words, errors) of each document and each item that leaked into it."""
-    spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
-    schema = f"i {kind}, item {item_kind}, containment double, run_words int, errors int"
-    narrow = spread(docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")))
-    wanted = items.where(F.length(item_text) > 0).select(F.col(item_id).alias("k"), F.col(item_text).alias("t")).distinct()
-    rows = [(r.k, r.t) for r in wanted.orderBy("k", "t").toLocalIterator()]
-    blocks = [rows[k : k + BLOCK] for k in range(0, len(rows), BLOCK)]
-    if not blocks:
-        return spark.createDataFrame([], schema).withColumnsRenamed({"i": id_col, "item": "item_id"})
-
-    def search(number: int, block: list[tuple]) -> DataFrame:
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            index = _index(number, shared.value, share)
-            for pdf in batches:
-                ids, texts = pdf["i"].tolist(), pdf["t"].tolist()
-                out = []
-                first = 0
-                while first < len(ids):  # bounds the arrays of one step, whatever the batch holds
-                    last, letters = first, 0
-                    while last < len(ids) and (last == first or letters + len(texts[last] or "") <= STEP_LETTERS):
-                        letters += len(texts[last] or "")
-                        last += 1
-                    found = index.leaks(texts[first:last])
-                    out += [(ids[first + d], key, c, n, e) for d, key, c, n, e, words in found if n >= share * words]
-                    first = last
-                yield pd.DataFrame(out, columns=["i", "item", "containment", "run_words", "errors"])
-
-        return narrow.mapInPandas(run, schema)
-
-    found = reduce(DataFrame.unionByName, [search(k, b) for k, b in enumerate(blocks)])
+    """(id, item_id, containment, run_words, errors) of each document and each item that leaked into it. Null ids have no rows."""
+    schema = f"i {docs.schema[id_col].dataType.simpleString()}, item {items.schema[item_id].dataType.simpleString()}, containment double, run_words int, errors int"
+    narrow = spread(docs.select(F.col(id_col).alias("i"), F.col(text).alias("t")).where("i is not null and length(t) > 0"))
+    wanted = items.select(F.col(item_id).alias("k"), F.col(item_text).alias("t")).where("k is not null and length(t) > 0").distinct()
+    is_short = F.length(F.regexp_replace("t", r"[^\p{L}\p{N}]+", "")) < 2 * SHINGLE  # whatever lower case does to the length
+    letters, short_letters = wanted.agg(F.sum(F.length("t")), F.sum(F.when(is_short, F.length("t")))).first()
+    if (letters or 0) <= MOST_LETTERS:
+        found = _by_broadcast(narrow, wanted, share, schema)
+    else:
+        if (short_letters or 0) > MOST_LETTERS:
+            raise ValueError(f"more than {MOST_LETTERS} letters of items under {2 * SHINGLE} letters")
+        found = _by_broadcast(narrow, wanted.where(is_short), share, schema).unionByName(_by_join(narrow, wanted.where(~is_short), share, schema))
     return found.withColumnsRenamed({"i": id_col, "item": "item_id"})

@@ -65,14 +65,17 @@ def test_found(spark):
     assert L.leaks(docs.limit(0), table).count() == 0 and L.leaks(docs, table.limit(0)).count() == 0
 
 
-def test_blocks_of_items_give_the_same(spark, monkeypatch):
+def test_joined_minima_give_the_same(spark, monkeypatch):
     rng = random.Random(3)
-    items = _items(rng, 8)
-    docs = spark.createDataFrame([(k, t) for k, t in items], "doc_id bigint, text string")
-    table = spark.createDataFrame(items, "item_id bigint, text string")
-    whole = sorted((r.doc_id, r.item_id) for r in L.leaks(docs, table).collect())
-    monkeypatch.setattr(L, "BLOCK", 3)
-    assert sorted((r.doc_id, r.item_id) for r in L.leaks(docs, table).collect()) == whole == [(k, k) for k in range(8)]
+    items = [*_items(rng, 8), (70, "Who won?"), (71, "a b")]
+    rows = [(k, t) for k, t in items] + [(100, "Nobody knows who won, they said."), (100, "who  WON"), (101, "he won who"), (None, items[0][1]), (102, None), (103, "")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    table = spark.createDataFrame([*items, (None, "Who won?")], "item_id bigint, text string")
+    whole = sorted((r.doc_id, r.item_id, r.run_words, r.errors) for r in L.leaks(docs, table).collect())
+    monkeypatch.setattr(L, "MOST_LETTERS", 100)
+    assert sorted((r.doc_id, r.item_id, r.run_words, r.errors) for r in L.leaks(docs, table).collect()) == whole
+    assert {(d, i) for d, i, _, _ in whole if i < 70} == {(k, k) for k in range(8)}
+    assert [(d, i) for d, i, _, _ in whole if i == 70] == [(70, 70), (100, 70), (100, 70)]  # an item shorter than a shingle
 
 
 def test_passages_that_barely_count_with_all_their_errors():
@@ -88,10 +91,39 @@ def test_passages_that_barely_count_with_all_their_errors():
             part[8 * k + 4] = "zqxj"
         texts.append("school form week " + " ".join(part) + " letter bank")
     index = L.Index(items)
-    found = {(d, item) for d, item, _, n, _, words in index.leaks(texts) if n >= L.SHARE * words}
+    found = {(d, item) for d, item, _, _, _ in index.leaks(texts)}
     assert {(d, item) for d, (item, _) in enumerate(items)} <= found
 
 
+def _edge(rng, items, share):
+    """Passages of just the share of the words, one word in eight changed, missing or added at any place."""
+    texts = []
+    for _, text in items:
+        words = text.split()
+        n = -(-int(share * 100) * len(words) // 100)
+        start = rng.randint(0, len(words) - n)
+        part = words[start : start + n]
+        for k in sorted(rng.sample(range(1, n - 1), n // 8), reverse=True):
+            part[k : k + 1] = rng.choice(([], ["zqxj"], [part[k], "zqxj"]))
+        texts.append("school form week " + " ".join(part) + " letter bank")
+    return texts
+
+
+def test_recall_at_the_edge_of_the_definition():
+    """Items of short words (2 to 6 letters) and of long ones, errors anywhere."""
+    rng = random.Random(5)
+    short = [(k, " ".join("".join(rng.choice("abcdefghijklmnoprstuvy") for _ in range(rng.randint(2, 6))) for _ in range(100))) for k in range(120)]
+    for items, share, least in ((short, 0.4, 0.93), (short, 0.44, 0.98), (_items(rng, 120), 0.4, 0.97), (_items(rng, 120), 0.44, 0.99)):
+        found = {(d, item) for d, item, _, _, _ in L.Index(items).leaks(_edge(rng, items, share))}
+        assert sum((d, k) in found for d, (k, _) in enumerate(items)) >= least * len(items)
+
+
+def test_passages_below_the_share_do_not_count():
+    rng = random.Random(6)
+    items = _items(rng, 60)
+    assert not L.Index(items).leaks(_edge(rng, items, 0.33))
+
+
 def test_least_left_is_a_lower_bound():
     assert L.least_left([4] * 20, 0.4) == (32 - 4 - 22, 28)  # eight words, one of them changed
     assert L.least_left([6, 6], 1.0) == (1, 12)
