@@ -46,6 +46,8 @@ def p3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_lines"),
         F.sum("n_docs").cast("long").alias("n_docs"),
         F.sum("n_clusters").cast("long").alias("n_clusters"),
+        F.sum("n_dates").cast("long").alias("n_dates"),
+        F.count_if((F.col("n_clusters") >= repeats.MIN_CLUSTERS) & (F.col("n_dates") >= repeats.MIN_DATES)).alias("n_removed"),
         F.max("source_docs").alias("source_docs"),
     )
 
@@ -114,9 +116,11 @@ l AS (
        LATERAL (SELECT unnest(d.parts) AS line, generate_subscripts(d.parts, 1) AS i) u
 ),
 n AS (SELECT source, count(*) AS source_docs FROM documents WHERE source IS NOT NULL GROUP BY source),
+d AS (SELECT doc_id, string_agg(letters, chr(10) ORDER BY line_no) AS lines FROM l WHERE length(letters) >= 3 GROUP BY doc_id),
+f AS (SELECT l.source, d.lines, min(CAST(timezone('UTC', x.scraped_at) AS DATE)) AS day FROM d JOIN (SELECT DISTINCT doc_id, source FROM l) l USING (doc_id) JOIN documents x USING (doc_id) GROUP BY l.source, d.lines),
 k AS (
-  SELECT l.source, l.letters, count(DISTINCT l.doc_id) AS n_docs, count(DISTINCT l.text) AS n_clusters, any_value(n.source_docs) AS source_docs
-  FROM l JOIN n USING (source) WHERE length(l.letters) >= 3
+  SELECT l.source, l.letters, count(DISTINCT l.doc_id) AS n_docs, count(DISTINCT d.lines) AS n_clusters, count(DISTINCT f.day) AS n_dates, any_value(n.source_docs) AS source_docs
+  FROM l JOIN n USING (source) JOIN d USING (doc_id) JOIN f ON f.source = l.source AND f.lines = d.lines WHERE length(l.letters) >= 3
   GROUP BY l.source, l.letters
   HAVING count(DISTINCT l.doc_id) >= 5 AND count(DISTINCT l.doc_id) >= 0.06 * any_value(n.source_docs)
 )
@@ -127,9 +131,9 @@ ORACLE: dict[str, str] = {
     "p3_found": f"WITH {_P3_LINES} SELECT l.doc_id, CAST(l.line_no AS BIGINT) AS line_no FROM l JOIN k ON l.source = k.source AND l.letters = k.letters",
     "p3_lines": f"""WITH {_P3_LINES}
 SELECT source, count(*) AS n_lines, CAST(sum(n_docs) AS BIGINT) AS n_docs, CAST(sum(n_clusters) AS BIGINT) AS n_clusters,
-       max(source_docs) AS source_docs FROM k GROUP BY source""",
+       CAST(sum(n_dates) AS BIGINT) AS n_dates, count(*) FILTER (n_clusters >= 5 AND n_dates >= 2) AS n_removed, max(source_docs) AS source_docs FROM k GROUP BY source""",
     "p3_clean": f"""WITH {_P3_LINES},
-r AS (SELECT l.doc_id, l.line_no FROM l JOIN k ON l.source = k.source AND l.letters = k.letters),
+r AS (SELECT l.doc_id, l.line_no FROM l JOIN k ON l.source = k.source AND l.letters = k.letters WHERE k.n_clusters >= 5 AND k.n_dates >= 2),
 a AS (
   SELECT d.doc_id, u.i - 1 AS line_no, u.line
   FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents) d,

@@ -1,10 +1,14 @@
 """Problem 3: lines repeated across one source's documents.
 
-Copies of a document are collapsed first: a cluster is a source and a text, with its number
-of copies and its publication dates. Each line is then counted once for a cluster, which
-gives three figures for a (source, line): documents (the copies weighted in), distinct
-clusters, and distinct dates. Boilerplate is decided on documents, as the project defines
-it; the other two tell a republished article (one cluster, many documents) from boilerplate.
+Copies of a document are collapsed first: a cluster is a source and a sequence of lines,
+with its number of copies and its first publication date; copies may differ in what does not
+make lines different (case, digits, spaces, signs: new stamps and counters), and in lines that do not count. Each line
+is then counted once for a cluster, which gives three figures for a (source, line):
+documents (the copies weighted in), distinct clusters, and distinct dates.
+
+Which lines are *found* is the project's definition, in documents. Which lines are *removed*
+asks for clusters and dates as well (``MIN_CLUSTERS``, ``MIN_DATES``): the lines of an article
+that is republished again and again stand in many documents of one cluster, and stay.
 
 Everything is a partial aggregation on (source, line hash); no group is gathered, so a
 source with a third of all rows is spread over all tasks. The list of repeated lines has at
@@ -12,8 +16,8 @@ most (mean lines a document) / ``min_share`` rows for a source.
 
 Two lines are the same if their letters are equal ignoring case. Lines with fewer than
 ``min_letters`` letters never count. Null sources have no lines to report; null or empty
-texts have no lines but count as documents. A line is identified by 96 bits of hash and its
-length.
+texts have no lines but count as documents; a null date is no date. A line is identified by
+96 bits of hash and its length.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from pyspark.sql import functions as F
 from loomline.session import spread
 
 MIN_DOCS, MIN_SHARE, MIN_LETTERS = 5, 0.06, 3
+#: Clusters and dates a line stands in, at least, to be removed.
+MIN_CLUSTERS, MIN_DATES = 5, 2
 
 
 def line_letters(line: Column) -> Column:
@@ -61,19 +67,20 @@ def repeated_keys(
     date: str | None = "scraped_at",
     min_docs: int = MIN_DOCS,
     min_share: float = MIN_SHARE,
+    min_clusters: int = 1,
+    min_dates: int = 0,
 ) -> DataFrame:
     """(source, key, n_docs, n_clusters, n_dates, source_docs) of the excessively repeated lines."""
     narrow = _narrow(docs, source, text, {"date": date} if date else {})
-    day = F.to_date("__date") if date else F.lit(None).cast("date")
+    day = F.col("__date").try_cast("date") if date else F.lit(None).cast("date")
     totals = narrow.groupBy("__source").agg(F.count(F.lit(1)).alias("source_docs"))
-    # the hash stands for the text, so that texts are not shuffled; the first copy's lines count
-    clusters = narrow.where(F.length("__text") > 0).select(
-        "__source",
-        day.alias("day"),
-        F.sha2("__text", 256).alias("text_id"),
-        F.array_distinct(F.transform(_keyed_lines(F.col("__text")), lambda x: x["key"])).alias("keys"),
+    # the hash stands for the lines, so that texts are not shuffled
+    letters = F.filter(F.transform(F.split("__text", "\n", -1), line_letters), lambda x: F.length(x) >= MIN_LETTERS)
+    lettered = narrow.where(F.length("__text") > 0).select("__source", day.alias("day"), letters.alias("letters"))
+    clusters = lettered.select(
+        "__source", "day", F.sha2(F.array_join("letters", "\n"), 256).alias("text_id"), F.array_distinct(F.transform("letters", _key)).alias("keys")
     )
-    # Identical texts have identical keys: grouping by (source, text) collapses the copies.
+    # the same lines have the same keys: grouping by (source, lines) collapses the copies
     clusters = clusters.groupBy("__source", "text_id").agg(
         F.count(F.lit(1)).alias("copies"), F.min("day").alias("first_day"), F.first("keys").alias("keys")
     )
@@ -85,7 +92,7 @@ def repeated_keys(
             F.count(F.lit(1)).alias("n_clusters"),
             F.countDistinct("first_day").alias("n_dates"),
         )
-        .where(F.col("n_docs") >= min_docs)
+        .where((F.col("n_docs") >= min_docs) & (F.col("n_clusters") >= min_clusters) & (F.col("n_dates") >= min_dates))
     )
     return counts.join(totals, "__source").where(F.col("n_docs") >= min_share * F.col("source_docs"))
 
@@ -98,11 +105,11 @@ def repeated_occurrences(docs: DataFrame, id_col: str = "doc_id", source: str =
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", source: str = "source", text: str = "text", **limits) -> DataFrame:
-    """Every document with its text without the repeated lines, and how many were removed.
+    """Every document with its text without the repeated lines of many clusters and dates, and how many were removed.
 
     A document from a null source, or without a text, comes out as it is.
     """
-    found = repeated_occurrences(docs, id_col, source, text, **limits)
+    found = repeated_occurrences(docs, id_col, source, text, **{"min_clusters": MIN_CLUSTERS, "min_dates": MIN_DATES} | limits)
     drop = found.groupBy(F.col(id_col).alias("__drop_id")).agg(F.collect_set("line_no").alias("__drop"))
     joined = docs.join(drop, F.col(id_col) == F.col("__drop_id"), "left")
     kept = F.filter(
