@@ -11,11 +11,14 @@ Ukrainian in Latin letters, made by rule from the Ukrainian samples.
 Lines are written in one byte a letter, so that three letters are a match; a letter outside a
 language's alphabet is an escape there and costs ``ESCAPE`` bytes more. A document's
 language is the one that most letters of its accepted lines are written in; if every line
-is rejected, the whole text is encoded at once. Confidence is the margin: the share of bytes
-the winner saves against the second.
+is rejected, the whole text is encoded at once, and if that is rejected too the language stays
+undecided: ``identify`` says ``und`` with confidence 0, and no label is called wrong.
+Confidence is the margin: the share of bytes the winner saves against the second; for
+documents the share of letters in its language.
 
 Everything is one map stage over (id, text, label); whole texts are read. Null, empty and
-letterless texts have no row. A bounded memory of line results is kept by each worker.
+letterless texts have no row. Each worker keeps the results of short lines, which recur, in a
+memory bounded in bytes. The dictionaries are made of the labelled samples and of ``COMMON``, labelled words written down here.
 """
 
 from __future__ import annotations
@@ -32,8 +35,10 @@ from loomline.llm.residue import is_residue
 from loomline.session import spread
 
 LANGUAGES = ("uk", "en", "ru", "pl", "ro")
-#: At most so many labelled samples are read to make the dictionaries.
+#: At most so many labelled samples, chosen by hash, are read to make the dictionaries.
 MOST_SAMPLES = 5000
+#: The language of texts that nothing tells apart.
+UNDECIDED = "und"
 #: A result is rejected if the winner saves less than this share of the second's bytes.
 NARROW = 0.025
 #: A line is told to be foreign from so many letters on.
@@ -100,7 +105,8 @@ _BYTES = {ord(c): chr(0x21 + k) for k, c in enumerate(_ALPHABET)}
 #: The Ukrainian national romanization: first the letters with another form at a word's start.
 _ROMAN_FIRST = {"є": "ye", "ї": "yi", "й": "y", "ю": "yu", "я": "ya"}
 _ROMAN = dict(zip("абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "a b v h g d e ie zh z y i i i k l m n o p r s t u f kh ts ch sh shch _ iu ia".split()))
-_KEEP = 300_000
+#: Results kept by a worker, and letters of a line whose result is kept: about 60 MB.
+_KEEP, _KEEP_LETTERS = 100_000, 240
 
 
 def romanize(text: str) -> str:
@@ -158,9 +164,11 @@ class Classifier:
         """(language or None if the margin is narrow, confidence) of the words of a line."""
         got = self.known.get(words)
         if got is None:
-            if len(self.known) >= _KEEP:
-                self.known.clear()
-            got = self.known[words] = self._classify(words)
+            got = self._classify(words)
+            if len(words) <= _KEEP_LETTERS:
+                if len(self.known) >= _KEEP:
+                    self.known.clear()
+                self.known[words] = got
         return got
 
     def _classify(self, words: str) -> tuple[str | None, float]:
@@ -194,11 +202,8 @@ class Classifier:
         if not total:
             return None, 0.0, []
         if not votes:
-            words = letters_only(text)
-            lang, confidence = self.classify(words)
-            if lang is None:  # nothing tells the languages apart: the first of the script, with no confidence
-                lang = self.cyrillic[0][0] if 2 * len(_encode(words).translate(None, _NOT_CYRILLIC)) >= total else self.latin[0][0]
-            return lang, confidence, []
+            lang, confidence = self._classify(letters_only(text))
+            return (lang, confidence, []) if lang else (UNDECIDED, 0.0, [])
         lang = max(votes, key=lambda x: (votes[x], x))
         return lang, round(votes[lang] / total, 4), lines
 
@@ -220,9 +225,9 @@ def label_language(label: str | None) -> str | None:
 
 
 def read_samples(samples: DataFrame, lang: str = "lang", text: str = "text", most: int = MOST_SAMPLES) -> list[tuple[str, str]]:
-    """The bounded sample of labelled texts the dictionaries are made of, in a fixed order."""
-    rows = samples.where(F.col(text).isNotNull()).select(lang, text).orderBy(F.length(text), text, lang).limit(most).collect()
-    return [(r[0], r[1]) for r in rows]
+    """The bounded sample of labelled texts the dictionaries are made of: those of the least hashes, in a fixed order."""
+    rows = samples.where(F.col(text).isNotNull()).select(lang, text).orderBy(F.xxhash64(text, lang), text, lang).limit(most).collect()
+    return sorted(((r[0], r[1]) for r in rows), key=lambda r: (len(r[1]), r[1], r[0] or ""))
 
 
 _made: dict[int, Classifier] = {}
@@ -231,6 +236,7 @@ _made: dict[int, Classifier] = {}
 def _worker(samples: list[tuple[str, str]]) -> Classifier:
     key = hash(tuple(samples))
     if key not in _made:
+        _made.clear()  # one at a time is in use
         _made[key] = Classifier(samples)
     return _made[key]
 
@@ -277,7 +283,7 @@ def wrong_labels_and_foreign_lines(docs: DataFrame, samples: DataFrame, id_col:
                 lang, confidence, lines = classifier.document(t)
                 if lang is None:
                     continue
-                if label_language(named) != lang:
+                if lang != UNDECIDED and label_language(named) != lang:
                     rows.append((i, -1, lang, confidence))
                 rows += [(i, k, x, c) for k, x, c, n in lines if x != lang and n >= LEAST_LETTERS]
             yield pd.DataFrame(rows, columns=["i", "line_no", "lang", "confidence"])

@@ -35,6 +35,8 @@ def test_narrow_margin_is_rejected():
     c = L.Classifier(SAMPLES)
     assert c.classify("")[0] is None
     assert c.classify("кккк")[0] is None
+    assert c.document("кккк")[:2] == ("und", 0.0) and c.document("zz")[:2] == ("und", 0.0)
+    assert c.document("123 — 456")[0] is None  # no letters
 
 
 def test_labels():
@@ -49,14 +51,15 @@ def test_found(spark):
     rows = [
         (1, uk, "uk", "x"), (2, uk, "ru", None), (3, f"{uk}\n\n{uk}\n{en}", None, "x"), (4, None, None, None), (5, "", "uk", "x"), (6, "123 — 456", None, "x"),
         (7, f"{uk}\nfollow us at very-long-host-name.example.org", "Ukrainian", "x"), (8, "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "uk", "x"), (2, uk, "ru", None),
-        (9, (uk + "\n") * 500, "uk", "x"),
+        (9, (uk + "\n") * 500, "uk", "x"), (10, "кккк", "ru", None),
     ]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, line_no string")
     samples = spark.createDataFrame(SAMPLES, "lang string, text string")
     got = sorted((r.doc_id, r.line_no, r.lang) for r in L.wrong_labels_and_foreign_lines(docs, samples).collect())
     assert got == [(2, -1, "uk"), (2, -1, "uk"), (3, -1, "uk"), (3, 3, "en")]
     whole = L.identify(docs, samples).where("line_no = -1")
-    assert {r.doc_id for r in whole.collect()} == {1, 2, 3, 7, 9}
+    assert {r.doc_id for r in whole.collect()} == {1, 2, 3, 7, 9, 10}
+    assert [(r.lang, r.confidence) for r in whole.where("doc_id = 10").collect()] == [("und", 0.0)]
     assert L.wrong_labels_and_foreign_lines(docs.limit(0), samples).count() == 0
     assert L.identify(docs.where("doc_id = 1"), samples.limit(0)).where(F.col("line_no") == -1).first().lang == "uk"
 
