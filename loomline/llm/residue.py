@@ -9,6 +9,7 @@ Two detectors look at a text, both on whole texts:
 * notices and filler: a *sentence* that as a whole is an error, waiting, access or script
   notice, dummy text or leaked program output. A sentence that merely mentions one ("if the
   portal shows a 404 error, wait ...") does not match, as patterns cover whole sentences.
+  Notices are short by their patterns; filler and program output may have any length.
 
 Defined results: a null or empty text has no finding; repeated rows give repeated results;
 every other column is ignored.
@@ -84,7 +85,7 @@ _WHOLE = [
     r"(?:text|conținut|paragraf|titlu) (?:de exemplu|de umplutură|provizoriu|exemplu).{0,50}|(?:textul|conținutul) va fi (?:adăugat|completat).{0,30}|aici (?:trebuie|va) .{0,40}",
     r"(?:todo|fixme|tbc|tbd|to do)\b\s?(?:[:—–\-].{2,100}|\.?)",
     r"(?:content|text|description|section|copy) (?:to be|will be|is being) (?:supplied|added|provided|confirmed|written).{0,50}",
-    r"(?:just another|yet another) .{2,20}\bsite\b.{0,40}",
+    r"(?:just|yet) another (?:.{2,20} )?site\b.{0,40}",
     r"(?:рибний текст|текст[- ]рыба|текст[- ]риба|рыбный текст)(?: .{0,60})?|coming soon|незабаром",
     # leaked program output
     r"\[?object object\]?(?:[\s,]+\[?object object\]?)*",
@@ -141,8 +142,14 @@ _BULLET = re.compile(r"[^\w\[(\"«]+")
 _INVISIBLE = re.compile("[\xad\u200b-\u200d\u2060\ufeff]+")
 _ODD_SPACE = re.compile("[ \t\r\xa0\u2000-\u200a\u202f\u3000]{2,}|[\t\xa0\xad\u2000-\u200d\u202f\u2060\u3000\ufeff]")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
-#: A notice or dummy sentence is short; longer ones can only be guides.
-LONGEST = 220
+#: A notice is a short sentence: its patterns bound it. Filler and program output are looked for in sentences of any length.
+LONGEST_NOTICE = 220
+_LONG = re.compile(
+    rf"{_DUMMY}(?:[\s/,|\-]+{_DUMMY})+|\[?object object\]?(?:[\s,]+\[?object object\]?)*|"
+    r"(?:warning|notice|fatal error|parse error|deprecated|uncaught \w*error|php \w+): .*\bon line \d+.*|"
+    r"traceback \(most recent call last\).*|(?:\w+\.)*\w+(?:error|exception): .*|at [\w.$<>]+\([\w.]+:\d+\).*|file \"[^\"]+\", line \d+.*|"
+    r"sqlstate\[?.*|segmentation fault.*|stack trace:.*"
+)
 
 
 def placeholders(text: str) -> list[tuple[str, int, int]]:
@@ -200,14 +207,23 @@ def notice_lines(text: str) -> list[tuple[int, str]]:
     for k, line in enumerate(low.split("\n")):
         if not line:
             continue
-        if len(line) <= LONGEST:
+        if len(line) <= LONGEST_NOTICE:
             parts = [line]
             if ". " in line or "! " in line or "? " in line:
                 parts += _SENTENCE.split(line)
         else:
             parts = _SENTENCE.split(line)
+            if _LONG.fullmatch(_strip_bullet(line).rstrip(" .!\r\t")):
+                found.append((k, "notice"))
+                continue
         for s in parts:
-            if len(s) > LONGEST:
+            if len(s) > LONGEST_NOTICE:
+                if _LONG.fullmatch(s := _strip_bullet(s).rstrip(" .!\r\t")):
+                    found.append((k, "notice"))
+                    break
+                if latin and _dummy_latin(s):
+                    found.append((k, "filler"))
+                    break
                 continue
             s = _strip_bullet(s).rstrip(" .!\r\t")
             if _is_whole(s) or anywhere and ANYWHERE.search(s):

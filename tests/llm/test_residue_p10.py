@@ -11,12 +11,16 @@ CASES = [
     "NaN / NaN / null", "Warning: Undefined variable $page in /srv/app/view.php on line 12", "TODO: add text", "xxxx xxxx xxxx", "Good text here.\nAccess Denied", "404 Not Found",
     "Please enable JavaScript to view this page.", "Увімкніть JavaScript, щоб переглянути цей вміст.", "Сервис временно недоступен. Повторите через 5 минут.", "Помилка сервера 500",
     "Strona chwilowo niedostępna", "Activați JavaScript pentru a vedea această pagină.", "YOUR SESSION HAS EXPIRED. SIGN IN AGAIN.", "*  Доступ  заборонено  ", "Checking your browser before accessing the site...",
+    "Just another site built with a starter theme", "Just another blogging site",
+    "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit",
+    "undefined " * 60 + "undefined", "Traceback (most recent call last): " + "File a.py line 3 in main " * 12,
+    "Warning: Undefined array key in /srv/" + "app/" * 60 + "view.php on line 12", "java.lang.IllegalStateException: " + "cannot open the store for reading " * 8,
 ]
 OTHERS = [
     None, "", "   ", "A normal guide about housing.", "If the portal shows a 404 error, wait 30 minutes and open the section again.",
     "For the form to work, enable JavaScript in the browser and then call the housing team.", "The [optional] box may be left empty and a letter sent later [12].",
     "Поле [за бажанням] у заяві можна пропустити.", "An employer must explain why the site sets cookies before you upload a copy.", "Write `{{name}}` where the name should stand.",
-    "A placeholder such as {{name}} is replaced when the letter is sent, as the template syntax says.", "The fee is 500 pounds.", "Enrolment: {see below}; 50% off", "a_b_c and x__y",
+    "A placeholder such as {{name}} is replaced when the letter is sent, as the template syntax says.", "The fee is 500 pounds.", "If the portal shows an error, write down its number, " + "go to the library and ask the desk there for help with the form, " * 5 + "and wait.", "Enrolment: {see below}; 50% off", "a_b_c and x__y",
 ]
 
 
