@@ -9,7 +9,8 @@ interval table has a fixed size and is broadcast; the values are never shuffled.
 
 Rules for what the value leaves open are parameters or documented here: all-digit dates are
 day first unless the year comes first; no zone means ``default_zone``; abbreviations are
-fixed offsets; bare numbers are seconds, or milliseconds from 10**11 on; fractions are cut.
+fixed offsets; named zones are those of the zone database ("Region/City", in any case); bare
+numbers are seconds, or milliseconds from 10**11 on; fractions are cut; a second 60 is impossible.
 Null, blank, unreadable and impossible values, unknown zones and years outside the interval
 table have a null result; ``normalise`` keeps such rows, ``readable`` drops them.
 """
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions.zones import interval_table
+from loomline.functions.zones import interval_table, zone_names
 from loomline.session import spread
 
 #: Month names: nominative, genitive and short forms, from January on.
@@ -40,16 +41,10 @@ MONTHS = {
 ABBREVIATIONS = {
     "Z": 0, "UTC": 0, "GMT": 0, "WET": 0, "BST": 3600, "WEST": 3600, "CET": 3600, "CEST": 7200, "EET": 7200, "EEST": 10800, "MSK": 10800,
 }
-#: Zone names that are read, with the zone whose rules hold.
-ZONES = {
-    "EUROPE/LONDON": "Europe/London", "EUROPE/BELFAST": "Europe/London", "EUROPE/KYIV": "Europe/Kyiv", "EUROPE/KIEV": "Europe/Kyiv",
-    "EUROPE/WARSAW": "Europe/Warsaw", "EUROPE/BUCHAREST": "Europe/Bucharest", "EUROPE/CHISINAU": "Europe/Chisinau",
-    "EUROPE/MOSCOW": "Europe/Moscow", "EUROPE/DUBLIN": "Europe/Dublin", "EUROPE/BERLIN": "Europe/Berlin", "EUROPE/PARIS": "Europe/Paris",
-}
 DEFAULT_ZONE = "Europe/London"
 
-_ZONE = r"((?:UTC|GMT|utc|gmt)?[+-]\d{1,2}(?::?\d{2})?(?:\[[A-Za-z_/]+\])?|\[?[A-Za-z]+/[A-Za-z_]+\]?|[A-Z]{1,5}|z)?"
-_CLOCK = r"(\d{1,2})[:.](\d{2})(?::(\d{2})(?:[.,]\d+)?)? ?([AaPp]\.?[Mm]\.?)? ?"
+_ZONE = r"((?:UTC|GMT|utc|gmt)?[+-]\d{1,2}(?::?\d{2})?(?:\[[A-Za-z0-9_/+\-]+\])?|\[?[A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+\]?|[A-Z]{1,5}|z)?"
+_CLOCK = r"(\d{1,2})[:.](\d{2})(?::(\d{2})(?:[.,]\d+)?)? ?([AaPp]\.?[Mm]\.?(?![A-Za-z]))? ?"
 #: Each family with the order of its groups as year|month|day|hour|minute|second|am or pm|zone.
 _FORMATS = [
     (r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})(?:[Tt ] ?" + _CLOCK + _ZONE + r")?$", "$1|$3|$4|$5|$6|$7|$8|$9"),
@@ -103,7 +98,7 @@ def with_fields(df: DataFrame, value: str) -> DataFrame:
             "__clock": clock.cast("bigint"),
             "__epoch": F.when(F.abs(digits) >= 100_000_000_000, F.floor(digits / 1000)).otherwise(digits).cast("bigint"),
             "__offset": offset.cast("bigint"),
-            "__zone": F.when(zone == "", F.lit(DEFAULT_ZONE)).otherwise(F.try_element_at(_lookup(ZONES), zone)),
+            "__zone": F.when(zone == "", F.lit(DEFAULT_ZONE.upper())).otherwise(zone),
         }
     )
     return df.drop("__tidy", "__f", "__named", "__signed")
@@ -116,12 +111,20 @@ def _utc_text(second: Column) -> Column:
     return F.concat(day.cast("string"), F.lit("T"), part(rest / 3600), F.lit(":"), part(rest % 3600 / 60), F.lit(":"), part(rest % 60), F.lit("Z"))
 
 
+def _named_zones(df: DataFrame, value: str) -> dict[str, str]:
+    """The zones of the zone database that values name, {upper-case name: name}: so many at most come to the driver."""
+    known = zone_names()
+    named = F.upper(F.regexp_extract(value, r"([A-Za-z]+(?:/[A-Za-z0-9_+\-]+)+)\]?[\s\u00a0\u2000-\u200b\u202f\ufeff]*$", 1))
+    found = df.select(named.alias("zone")).where("zone <> ''").where(F.col("zone").isin(*known)).distinct().collect()
+    return {name: known[name] for name in (DEFAULT_ZONE.upper(), *(r.zone for r in found))}
+
+
 def normalise(df: DataFrame, value: str, utc: str = "utc", status: str = "status") -> DataFrame:
     """Adds the UTC form and how it was found: date, epoch, fixed, direct, ambiguous, nonexistent, or null."""
     kept = df.columns
     parsed = with_fields(spread(df), value)
     parsed = parsed.withColumn("__wall", F.datediff("__day", F.lit("1970-01-01").cast("date")).cast("bigint") * 86400 + F.col("__clock"))
-    spans = interval_table(df.sparkSession, tuple(sorted({DEFAULT_ZONE, *ZONES.values()}))).select(
+    spans = interval_table(df.sparkSession, _named_zones(df, value)).select(
         F.col("zone").alias("__zone"), F.col("year").alias("__year"), F.col("spans").alias("__spans")
     )
     parsed = parsed.withColumn("__year", F.when(F.col("__offset").isNull() & F.col("__wall").isNotNull(), F.year("__day")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from loomline.functions import text as T
+from loomline.operators.timestamps import MONTHS
 
 _AS_OF = "TIMESTAMP '2025-06-01 00:00:00'"
 _WS = r"[\s\x0b\x0c\x1c-\x1f\x{85}\p{Z}]"
@@ -100,6 +101,47 @@ _CHUNK_ROWS = """
 SELECT unit AS doc_id, text, (row_number() OVER (PARTITION BY unit ORDER BY {order}) - 1)::INTEGER AS chunk_index, (count(*) OVER (PARTITION BY unit))::INTEGER AS total_chunks,
   s::INTEGER AS start_char, {end}::INTEGER AS end_char FROM {rows}"""
 
+
+#: Problem 5: the families of formats, with groups in the order year|month|day|hour|minute|second|half of the day|zone.
+_TIME_ZONE = r"((?:UTC|GMT|utc|gmt)?[+-]\d{1,2}(?::?\d{2})?|\[?[A-Za-z]+/[A-Za-z_]+\]?|[A-Z]{1,5}|z)?"
+_TIME_CLOCK = r"(\d{1,2})[:.](\d{2})(?::(\d{2})(?:[.,]\d+)?)? ?([AaPp]\.?[Mm]\.?)? ?"
+_TIME_FORMS = (
+    (rf"(\d{{4}})[-/.](\d{{1,2}})[-/.](\d{{1,2}})(?:[Tt ] ?{_TIME_CLOCK}{_TIME_ZONE})?", r"\1|\2|\3|\4|\5|\6|\7|\8"),
+    (rf"(\d{{4}})(\d{{2}})(\d{{2}})T(\d{{2}}):?(\d{{2}}):?(\d{{2}})?(?:[.,]\d+)? ?{_TIME_ZONE}", r"\1|\2|\3|\4|\5|\6||\7"),
+    (rf"(\d{{1,2}})[-/.](\d{{1,2}})[-/.](\d{{4}})(?: ?[рг]\.)?(?:,? ?(?:[Tt]|о|at|в)? ?{_TIME_CLOCK}{_TIME_ZONE})?", r"\3|\2|\1|\4|\5|\6|\7|\8"),
+    (rf"(?:\p{{L}}+\.?,? )?(\d{{1,2}})(?:st|nd|rd|th)?\.?[ -](?:of )?(\p{{L}}+)\.?,?[ -](\d{{4}})(?: ?(?:року|года|р|г|r)\.?)?(?:,? ?(?:о|об|в|at|godz\.|ora)? ?{_TIME_CLOCK}{_TIME_ZONE})?",
+     r"\3|\2|\1|\4|\5|\6|\7|\8"),
+    (rf"(?:\p{{L}}+\.?,? )?(\p{{L}}+)\.? (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})(?:,? ?(?:at)? ?{_TIME_CLOCK}{_TIME_ZONE})?", r"\3|\1|\2|\4|\5|\6|\7|\8"),
+)
+_TIME_MONTH = ", ".join(f"list_position([{_any(names.split())}], lower(f[2]))" for names in MONTHS.values())
+_TIMES = rf"""
+WITH v AS (
+  SELECT 'ingested_docs' AS rec_table, record_id AS rec_id, 'last_updated' AS field, metadata.last_updated AS value FROM ingested_docs
+  UNION ALL SELECT 'ingested_docs', record_id, 'scraped_at', metadata.scraped_at FROM ingested_docs
+  UNION ALL SELECT 'page_cache', page_id, 'publication_date', metadata.publication_date FROM page_cache),
+t AS (SELECT * EXCLUDE value, trim(regexp_replace(value, '[\s\x{{a0}}\x{{2000}}-\x{{200b}}\x{{202f}}\x{{feff}}]+', ' ', 'g')) AS s FROM v WHERE value IS NOT NULL),
+p AS (SELECT *, string_split(CASE {" ".join(f"WHEN regexp_full_match(s, {_quoted(x)}) THEN regexp_replace(s, {_quoted("^" + x + "$")}, {_quoted(order)})" for x, order in _TIME_FORMS)} END, '|') AS f,
+  try_cast(regexp_extract(s, '^(-?\d{{1,17}})(?:\.\d*)?$', 1) AS BIGINT) AS digits FROM t),
+m AS (SELECT *, coalesce(try_cast(f[2] AS INTEGER), {_TIME_MONTH}) AS month, try_cast(f[4] AS INTEGER) AS h, try_cast(f[5] AS INTEGER) AS mi, coalesce(try_cast(f[6] AS INTEGER), 0) AS se,
+  upper(substring(f[7], 1, 1)) AS half, upper(trim(f[8], '[]')) AS zone FROM p),
+d AS (SELECT *, try_cast(f[1] || '-' || lpad(month::VARCHAR, 2, '0') || '-' || lpad(f[3], 2, '0') AS DATE) AS day,
+  CASE WHEN half = '' THEN h WHEN NOT h BETWEEN 1 AND 12 THEN NULL WHEN half = 'A' THEN h % 12 ELSE h % 12 + 12 END AS hour, regexp_replace(zone, '^(UTC|GMT)([+-])', '\2') AS signed FROM m),
+w AS (SELECT *, CASE WHEN hour <= 23 AND mi <= 59 AND se <= 59 THEN epoch(day)::BIGINT + hour * 3600 + mi * 60 + se END AS wall,
+  CASE WHEN regexp_full_match(signed, '[+-]\d{{1,2}}(:?\d{{2}})?') THEN (CASE WHEN signed[1] = '-' THEN -1 ELSE 1 END) *
+      (CASE WHEN length(regexp_replace(signed, '\D', '', 'g')) > 2 THEN regexp_extract(signed, '(\d{{1,2}}?):?(\d{{2}})$', 1)::INTEGER * 3600 + regexp_extract(signed, '(\d{{2}})$', 1)::INTEGER * 60
+       ELSE regexp_extract(signed, '\d+')::INTEGER * 3600 END) END AS stated,
+  CASE zone WHEN 'Z' THEN 0 WHEN 'UTC' THEN 0 WHEN 'GMT' THEN 0 WHEN 'WET' THEN 0 WHEN 'BST' THEN 3600 WHEN 'WEST' THEN 3600 WHEN 'CET' THEN 3600 WHEN 'CEST' THEN 7200
+    WHEN 'EET' THEN 7200 WHEN 'EEST' THEN 10800 WHEN 'MSK' THEN 10800 END AS short,
+  CASE WHEN zone IN ('', 'EUROPE/LONDON') THEN 0 WHEN zone IN ('EUROPE/KYIV', 'EUROPE/KIEV') THEN 7200 END AS std,
+  epoch(make_date(year(day), 3, 31) - dayofweek(make_date(year(day), 3, 31))::INTEGER)::BIGINT + 3600 AS spring, epoch(make_date(year(day), 10, 31) - dayofweek(make_date(year(day), 10, 31))::INTEGER)::BIGINT + 3600 AS autumn FROM d),
+u AS (SELECT *, CASE WHEN day IS NOT NULL AND f[4] = '' THEN 'date' WHEN digits IS NOT NULL THEN 'epoch' WHEN wall IS NULL THEN NULL WHEN coalesce(stated, short) IS NOT NULL THEN 'fixed'
+    WHEN std IS NULL THEN NULL WHEN wall - std - spring BETWEEN 0 AND 3599 THEN 'nonexistent' WHEN wall - std - autumn BETWEEN 0 AND 3599 THEN 'ambiguous' ELSE 'direct' END AS status,
+  CASE WHEN wall - std - 3600 >= spring AND wall - std - 3600 < autumn THEN std + 3600 ELSE std END AS ruled FROM w),
+x AS (SELECT rec_table, rec_id, field, status, CASE WHEN status = 'date' THEN day::VARCHAR
+    ELSE strftime(make_timestamp(1000000 * CASE WHEN status = 'epoch' THEN CASE WHEN abs(digits) >= 100000000000 THEN floor(digits / 1000)::BIGINT ELSE digits END ELSE wall - coalesce(stated, short, ruled) END), '%Y-%m-%dT%H:%M:%SZ') END AS utc
+  FROM u WHERE status IS NOT NULL)
+"""
+
 ORACLE: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS text FROM documents",
     "clean_lines": rf"""
@@ -137,6 +179,8 @@ every AS (
   LEFT JOIN m_b ON m_b.unit = m.unit AND m_b.seg = m.seg LEFT JOIN last_end z ON z.unit = m_b.unit * 1000000 + m_b.k
   UNION ALL SELECT unit // 1000000, text, s, e, unit % 1000000, k, c FROM ends)
 {_CHUNK_ROWS.format(order="k, j, c", end="e", rows="every")}""",
+    "p5_found": _TIMES + "SELECT rec_table, rec_id, field, utc FROM x",
+    "p5_report": _TIMES + "SELECT rec_table, field, status, count(*) AS n, min(utc) AS first, max(utc) AS last FROM x GROUP BY rec_table, field, status",
     "document_ordinal": "SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS document_index FROM documents",
     "first_heading": f"SELECT doc_id, {_strip("coalesce(title, '?')")} AS heading FROM documents",
     "route_intent": "SELECT doc_id, "

@@ -45,10 +45,14 @@ CASES = {
     # clocks go forward at 01:00 on 31 March 2024 in London: 01:30 never occurs
     "2024-03-31 01:30:00": ("2024-03-31T01:30:00Z", "nonexistent"),
     "2024-03-31 03:30:00 Europe/Kyiv": ("2024-03-31T01:30:00Z", "nonexistent"),
+    "2024-07-01 12:00:00 America/New_York": ("2024-07-01T16:00:00Z", "direct"),
+    "2024-01-01T00:30:00[Asia/Tokyo]": ("2023-12-31T15:30:00Z", "direct"),
+    "2024-05-05 10:00 america/argentina/buenos_aires\u00a0": ("2024-05-05T13:00:00Z", "direct"),
+    "1 July 2150, 12:00 Europe/Madrid": ("2150-07-01T10:00:00Z", "direct"),
     "2024-03-31 02:00:00": ("2024-03-31T01:00:00Z", "direct"),
 }
 JUNK = ["", "  ", None, "unknown", "n/a", "not dated", "recently", "вчора", "null", "2024-02-30", "2024-02-30 10:00:00", "31/04/2023",
-        "2024-13-01", "32 March 2024", "12 marathons 2024", "2024-01-01 25:00:00", "2024-01-01 10:61", "1 May 2024, 13:05pm",
+        "2024-13-01", "32 March 2024", "12 marathons 2024", "2024-01-01 25:00:00", "2024-01-01 10:61", "2024-01-01 10:10:60", "2024-01-01 10:00:00 Etc", "1 May 2024, 13:05pm",
         "2024-01-01 10:00:00 XYZ", "2024-01-01 10:00:00 Mars/Phobos", "1/2"]
 
 
@@ -85,6 +89,14 @@ def test_every_quarter_hour_around_changes(spark, zone):
 
 
 def test_intervals_cover_local_time():
+    for name in ("Europe/London", "America/New_York", "Asia/Kathmandu", "Africa/Casablanca", "Pacific/Apia", "Europe/Dublin"):
+        spans, zone = intervals(name), ZoneInfo(name)
+        for year in (1930, 1975, 2011, 2024, 2040, 2100):
+            for day in range(0, 365, 5):
+                at = datetime(year, 1, 1, 12, tzinfo=UTC) + timedelta(days=day)
+                second = int(at.timestamp())
+                inside = [o for a, b, o in spans if a - o <= second < b - o]
+                assert inside == [int(at.astimezone(zone).utcoffset().total_seconds())]
     spans = intervals("Europe/London")
     assert all(a[1] - a[2] == b[0] - b[2] for a, b in zip(spans, spans[1:]))
 
