@@ -181,6 +181,31 @@ every AS (
 {_CHUNK_ROWS.format(order="k, j, c", end="e", rows="every")}""",
     "p5_found": _TIMES + "SELECT rec_table, rec_id, field, utc FROM x",
     "p5_report": _TIMES + "SELECT rec_table, field, status, count(*) AS n, min(utc) AS first, max(utc) AS last FROM x GROUP BY rec_table, field, status",
+    "p7_found": r"""
+WITH r AS (SELECT record_id, feed, file_name, try_cast(payload AS JSON) AS p FROM raw_records WHERE json_type(try_cast(payload AS JSON)) = 'OBJECT'),
+f AS (SELECT r.record_id, r.feed, r.file_name, substring(j.fullkey, 3) AS path,
+    CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' ELSE 'number' END AS type, CASE j.type WHEN 'VARCHAR' THEN j.atom->>'$' ELSE j.value::VARCHAR END AS value
+  FROM r, json_tree(r.p) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.fullkey, '[')),
+n AS (SELECT feed, file_name, count(*) AS n_records, lag(file_name) OVER (PARTITION BY feed ORDER BY file_name) AS before FROM r GROUP BY feed, file_name),
+k AS (SELECT feed, file_name, path, type, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT k.feed, k.file_name, k.path, arg_max(k.type, (k.n, -list_position(['string', 'number', 'boolean', 'array'], k.type))) AS type
+  FROM k JOIN n USING (feed, file_name) GROUP BY k.feed, k.file_name, k.path HAVING sum(k.n) >= 0.5 * any_value(n.n_records)),
+c AS (SELECT n.feed, n.file_name, n.before, h.path, h.type FROM n JOIN h USING (feed, file_name) WHERE before IS NOT NULL),
+o AS (SELECT n.feed, n.file_name, n.before, h.path, h.type FROM n JOIN h ON h.feed = n.feed AND h.file_name = n.before),
+came AS (SELECT * FROM c ANTI JOIN o USING (feed, file_name, path)),
+gone AS (SELECT * FROM o ANTI JOIN c USING (feed, file_name, path)),
+pairs AS (SELECT DISTINCT came.feed, came.file_name, came.before FROM came JOIN gone USING (feed, file_name)),
+votes AS (SELECT p.file_name, a.record_id AS old_id, b.record_id AS new_id, count(DISTINCT a.value) AS votes
+  FROM pairs p JOIN f a ON a.feed = p.feed AND a.file_name = p.before JOIN f b ON b.feed = p.feed AND b.file_name = p.file_name AND b.value = a.value GROUP BY ALL),
+links AS (SELECT file_name, old_id, arg_max(new_id, (votes, -new_id)) AS new_id FROM votes GROUP BY file_name, old_id HAVING max(votes) >= 4),
+met AS (SELECT l.file_name, g.path AS old_field, m.path AS field, count(*) AS n, count(*) FILTER (a.value = b.value) AS same
+  FROM links l JOIN gone g ON g.file_name = l.file_name JOIN came m ON m.file_name = l.file_name
+  JOIN f a ON a.record_id = l.old_id AND a.path = g.path JOIN f b ON b.record_id = l.new_id AND b.path = m.path GROUP BY ALL),
+renamed AS (SELECT * FROM met WHERE same > 0.5 * n AND same >= least(2, n))
+SELECT file_name, 'renamed' AS change, field, old_field FROM renamed
+UNION ALL SELECT file_name, 'added', path, '' FROM came ANTI JOIN renamed ON renamed.file_name = came.file_name AND renamed.field = came.path
+UNION ALL SELECT file_name, 'removed', path, '' FROM gone ANTI JOIN renamed ON renamed.file_name = gone.file_name AND renamed.old_field = gone.path
+UNION ALL SELECT file_name, 'type_changed', path, '' FROM c JOIN o USING (feed, file_name, path) WHERE c.type <> o.type""",
     "document_ordinal": "SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS document_index FROM documents",
     "first_heading": f"SELECT doc_id, {_strip("coalesce(title, '?')")} AS heading FROM documents",
     "route_intent": "SELECT doc_id, "
