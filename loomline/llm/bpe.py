@@ -12,6 +12,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import zlib
 from collections import Counter
 
 import regex
@@ -97,9 +98,11 @@ _loaded: dict[int, Counts] = {}
 
 def worker_counts(broadcast) -> Counts:
     """The counts object of this worker process for a broadcast vocabulary file."""
-    key = hash(broadcast.value[:4096]) ^ len(broadcast.value)
+    data = broadcast.value
+    key = zlib.crc32(data) << 32 | zlib.adler32(data)  # of all bytes
     if key not in _loaded:
-        _loaded[key] = Counts(broadcast.value)
+        _loaded.clear()  # one at a time is in use
+        _loaded[key] = Counts(data)
     return _loaded[key]
 
 

@@ -1,15 +1,18 @@
 """Problem 8: filling fixed-capacity containers by lexical retrieval packing.
 
 Sizes are tokens of a public tokenizer. A text over the capacity is cut into full containers
-and a rest; every other text stays whole. Documents are spread over shards of bounded size
-(by hash, so no source or language can make a shard large). Each shard holds a BM25 inverted
-index of its documents: the postings of every term with their weights, idf from the corpus
-frequencies of its shard. The largest unused document seeds a window, and the index returns
-the unused neighbours for it, best score first; they fill the window greedily as long as they
-fit. What room is left takes the largest unused document that fits, so little stays unused.
-
-A shard's last containers are badly filled; ``consolidate`` packs what stands in containers
-below ``FULL`` once more, in shards of their own, until one shard is left or nothing changes.
+and a rest; every other text stays whole. Documents are put in the order of two MinHashes of
+their terms, so that documents with common words come to stand together, and this order is
+cut into shards of ``SHARD`` documents: however many documents share a term, a shard never is
+larger. Each shard holds a BM25 inverted index of its documents: the postings of every term
+with their weights, idf from the frequencies in its shard. The largest unused document seeds
+a window, and the index returns the unused neighbours for it by all its terms, best score
+first; they fill the window greedily as long as they fit. What room is left takes the largest
+unused document that fits, so little stays unused.
+
+A shard's last containers are badly filled: what stands in containers below ``FULL`` is
+ordered by other MinHashes and packed again, until one shard is left or a round saves less
+than ``GAIN`` of these containers.
 
 Null and empty texts have 0 tokens and stand in no container. Repeated rows are items of
 their own, told apart by the id; ids have to be distinct.
@@ -21,10 +24,12 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +41,8 @@ CAPACITY = 4096
 SHARD = 2000
 #: BM25 parameters.
 K1, B = 1.2, 0.75
-#: Containers filled less are packed again.
-FULL = 0.97
+#: Containers filled less are packed again, while that saves this share of them.
+FULL, GAIN = 0.97, 0.02
 _LETTERS = re.compile(r"[^\W\d_]")
 
 
@@ -160,30 +165,42 @@ def items(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
 
 
 def _pack_shards(rows: DataFrame, n: int, capacity: int, level: int) -> DataFrame:
-    """(container, position, fill, item columns) of the items packed in ceil(n / SHARD) shards."""
-    shards = max(1, math.ceil(n / SHARD))
-    kind = rows.schema["id"].dataType.simpleString()
-    schema = f"container string, position int, fill int, {_ITEM.format(id=kind)}"
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "part"], ignore_index=True)
-        as_arrays = lambda c: [np.asarray(x, np.int64) for x in pdf[c]]
-        shard = Shard(pdf["size"].to_numpy(np.int64), as_arrays("terms"), as_arrays("counts"))
+    """(container, position, fill, item columns) of the items packed in shards of neighbours by MinHash."""
+    schema = f"container string, position int, fill int, {_ITEM.format(id=rows.schema['id'].dataType.simpleString())}"
+    columns = ["id", "part", "token_start", "size", "terms", "counts"]
+
+    def packed(name: str, items: pd.DataFrame) -> pd.DataFrame:
+        as_arrays = lambda c: [np.asarray(x, np.int64) for x in items[c]]
+        shard = Shard(items["size"].to_numpy(np.int64), as_arrays("terms"), as_arrays("counts"))
         windows = shard.pack(capacity)
-        rows_at = [k for w in windows for k in w]
-        out = pdf.loc[rows_at, ["id", "part", "token_start", "size", "terms", "counts"]].reset_index(drop=True)
+        out = items.iloc[[k for w in windows for k in w]].reset_index(drop=True)
         fills = [int(shard.sizes[w].sum()) for w in windows]
-        out.insert(0, "container", [f"{level}-{int(key[0])}-{k}" for k, w in enumerate(windows) for _ in w])
+        out.insert(0, "container", [f"{name}-{k}" for k, w in enumerate(windows) for _ in w])
         out.insert(1, "position", [p for w in windows for p in range(len(w))])
         out.insert(2, "fill", [f for f, w in zip(fills, windows) for _ in w])
         return out
 
-    # shards of equal size whatever the ids are
-    hashed = rows.withColumn("shard", F.pmod(F.xxhash64("id", "part"), F.lit(shards)).cast("int"))
-    return hashed.groupBy("shard").applyInPandas(pack, schema)
-
-
-def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = bpe.DEFAULT_FILE, rounds: int = 2) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, shards, waiting, held = TaskContext.get().partitionId(), 0, [], 0
+        for pdf in batches:
+            waiting.append(pdf[columns])
+            held += len(pdf)
+            while held >= SHARD:
+                every = pd.concat(waiting, ignore_index=True)
+                yield packed(f"{level}-{task}-{shards}", every.iloc[:SHARD].reset_index(drop=True))
+                waiting, held, shards = [every.iloc[SHARD:]], held - SHARD, shards + 1
+        if held:
+            yield packed(f"{level}-{task}-{shards}", pd.concat(waiting, ignore_index=True))
+
+    least = lambda seed: F.coalesce(F.array_min(F.transform("terms", lambda t: F.xxhash64(t, F.lit(seed)))), F.lit(0))
+    shards = math.ceil(n / SHARD)
+    tasks = max(1, math.ceil(shards / 8), min(shards, 2 * rows.sparkSession.sparkContext.defaultParallelism))
+    order = ["__a", "__b", "id", "part"]  # the id divides what has the same terms
+    ordered = rows.withColumns({"__a": least(2 * level), "__b": least(2 * level + 1)}).repartitionByRange(tasks, *order).sortWithinPartitions(*order)
+    return ordered.select(*columns).mapInPandas(run, schema)
+
+
+def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity: int = CAPACITY, vocabulary: str = bpe.DEFAULT_FILE) -> DataFrame:
     """(container, position, id, part, token_start, n_tokens): every text once, no container over the capacity."""
     rows = checkpointed(items(docs, id_col, text, capacity, vocabulary))
     full = rows.where(F.col("size") == capacity).select(
@@ -191,21 +208,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", capacity:
         F.lit(0).alias("position"), "id", "part", "token_start", "size",
     )
     open_rows = rows.where(F.col("size") < capacity)
+    n, before, level = open_rows.count(), math.inf, 0
     done = [full]
-    for level in range(rounds):
-        n = open_rows.count()
-        if not n:
-            break
-        packed = _pack_shards(open_rows, n, capacity, level)
-        if level == rounds - 1 or n <= SHARD:
+    while n:
+        packed = checkpointed(_pack_shards(open_rows, n, capacity, level))
+        bad = packed.where(F.col("fill") < FULL * capacity)
+        left, containers = bad.agg(F.count(F.lit(1)), F.count_if(F.col("position") == 0)).first()
+        if n <= SHARD or containers > (1 - GAIN) * before:
             done.append(packed.select(*full.columns))
             break
-        packed = checkpointed(packed)
         done.append(packed.where(F.col("fill") >= FULL * capacity).select(*full.columns))
-        open_rows = packed.where(F.col("fill") < FULL * capacity).select("id", "part", "token_start", "size", "terms", "counts")
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+        open_rows, n, before, level = bad.select("id", "part", "token_start", "size", "terms", "counts"), left, containers, level + 1
+    out = reduce(DataFrame.unionByName, done)
     return out.select("container", "position", F.col("id").alias(id_col), "part", "token_start", F.col("size").alias("n_tokens"))
 
 
