@@ -29,7 +29,7 @@ def test_dates(spark):
     assert got["2024-01-05T03:04:05"].n == 0 and got["05/01/2024"].n == 1 and got["junk"].s == "junk" and got["05/01/2024"].s == "05 January 2024"
 
 
-def test_top_k_against_all_pairs(spark):
+def test_top_k_against_all_pairs(spark, monkeypatch):
     rng = np.random.default_rng(1)
     rows = [(k, rng.normal(size=8).tolist(), int(k % 3)) for k in range(200)] + [(500, None, 0), (501, [], 0), (502, [0.0] * 8, 0), (503, [1.0] * 4, 0), (504, [1.0] * 8, 1), (505, [2.0] * 8, 1)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
@@ -48,6 +48,12 @@ def test_top_k_against_all_pairs(spark):
     for equal, threshold in ((None, None), ("label", None), (None, 0.3)):
         got = vector.top_k(df, queries, 3, threshold, equal=equal).collect()
         assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == plain(equal, threshold)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # many batches a task, many blocks of queries
+    monkeypatch.setattr(vector, "BLOCK", 3)
+    for equal, threshold in ((None, None), ("label", None), (None, 0.3)):
+        got = vector.top_k(df, queries, 3, threshold, equal=equal).collect()
+        assert sorted((r.query_id, r.vec_id, r["rank"]) for r in got) == plain(equal, threshold)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     a, b = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))
     assert math.isclose(spark.range(1).select(vector.cosine(a, b)).first()[0], 0.5**0.5)
     assert vector.top_k(df.limit(0), queries).count() == 0 and vector.top_k(df, queries.limit(0)).count() == 0
