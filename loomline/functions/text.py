@@ -323,6 +323,30 @@ def tool_page(title: Column, url: Column, content: Column, links: Column, most_l
     return F.concat(F.lit("# "), title, F.lit("\n\n**Source:** "), url, F.lit("\n\n## Content\n"), content, tail)
 
 
+def scraped_page(
+    title: Column, url: Column, scraped_at: Column, cached: Column, published: Column, content: Column, links: Column, content_length: Column, num_links: Column,
+    official: Column, most_links: int = 10,
+) -> Column:
+    """A fetched page as marked-up text: where and when it was read, its content, first links and counts."""
+    item = lambda x: F.concat(F.lit("- ["), x["text"], F.lit("]("), x["href"], F.lit(")"))
+    has_links = F.coalesce(F.size(links), F.lit(0)) > 0
+    parts = F.array(
+        F.concat(F.lit("# "), title),
+        F.concat(F.lit("**Source:** "), url),
+        F.concat(F.lit("**Scraped:** "), F.date_format(scraped_at, "yyyy-MM-dd HH:mm"), F.lit(" UTC")),
+        F.when(cached, F.lit("**Status:** Cached content")),
+        F.when(F.coalesce(published, F.lit("")) != "", F.concat(F.lit("**Published:** "), published)),
+        F.lit(""),
+        F.concat(F.lit("## Content\n"), F.coalesce(content, F.lit("")), F.lit("\n")),
+        F.when(has_links, F.concat(F.lit("## Relevant Links\n"), F.array_join(F.transform(F.slice(links, 1, most_links), item), "\n"), F.lit("\n"))),
+        F.lit("## Metadata"),
+        F.concat(F.lit("- Content length: "), F.coalesce(content_length, F.lit(0)).cast("string"), F.lit(" characters")),
+        F.concat(F.lit("- Number of links: "), F.coalesce(num_links, F.lit(0)).cast("string")),
+        F.when(official, F.lit("- **Official UK Government Source**")),
+    )
+    return F.array_join(parts, "\n")
+
+
 def parse_tool_page(page: Column) -> Column:
     """struct(title, url, content) read back: the last heading names it, content runs to the next section, blank lines dropped."""
     lines = F.split(page, "\n", -1)
@@ -351,3 +375,28 @@ def joined_contexts(base: Column, web_url: Column, web_title: Column, web_conten
         F.concat(F.lit(web_heading + "\n"), F.lit("Джерело: "), web_url, F.lit("\nЗаголовок: "), web_title, F.lit("\n\n"), web_content, F.lit("\n")),
     ).otherwise("")
     return F.when(web_content.isNull(), base).otherwise(F.concat(first, second))
+
+
+# When to look beyond the index.
+
+#: Words that ask for something recent, names of schemes, and words of health questions.
+FRESH_WORDS = ["recent", "latest", "new", "current", "today", "now", "останні", "нові", "актуальні", "поточні", "свіжі"]
+SCHEME_WORDS = ["homes for ukraine", "ukraine scheme", "схема", "програма"]
+HEALTH_WORDS = ["nhs", "doctor", "gp", "hospital", "health", "medical", "лікар", "лікарня", "здоров'я", "медичн"]
+FEW_DOCUMENTS, LEAST_PAGE = 2, 200
+
+
+def needs_search(query: Column, found_documents: Column) -> Column:
+    """Whether a question should be looked up outside: too little was found, or it asks for news or a scheme."""
+    return (found_documents < FEW_DOCUMENTS) | mentions_any(query, [*FRESH_WORDS, *SCHEME_WORDS])
+
+
+def search_subject(query: Column) -> Column:
+    return F.when(mentions_any(query, HEALTH_WORDS), "health").otherwise("housing")
+
+
+def fuller_page(first: Column, second: Column, subject: Column) -> Column:
+    """The first page (struct with content), unless it is missing or short; then the second if there is one, for housing only if it is longer."""
+    size = lambda page: F.coalesce(F.length(page["content"]), F.lit(0))
+    instead = second.isNotNull() & ((subject == "health") | (size(second) > size(first)))
+    return F.when((size(first) < LEAST_PAGE) & instead, second).otherwise(first)

@@ -126,9 +126,14 @@ def packed_chunks(text: Column, strategy: str, size: int = SIZE, overlap: int =
     return run(text)
 
 
-def chunk_documents(docs: DataFrame, text: str = "text", strategy: str = "sentence", size: int = SIZE, overlap: int = OVERLAP, keep_newlines: bool = False) -> DataFrame:
-    """One row a chunk: the other columns, text, chunk_index, total_chunks, start_char, end_char. Blank texts have none."""
+def chunk_documents(docs: DataFrame, text: str = "text", strategy: str = "sentence", size: int = SIZE, overlap: int = OVERLAP, keep_newlines: bool = False, order: list[str] | None = None) -> DataFrame:
+    """One row a chunk: the other columns, text, chunk_index, total_chunks, start_char, end_char. Blank texts have none.
+
+    With an ``order`` of the documents each chunk also carries its document's ordinal, document_index.
+    """
     check(size, overlap)
+    if order:
+        docs = with_ordinal(docs, order)
     other = [c for c in docs.columns if c != text]
     if strategy not in STRATEGIES:
         raise ValueError(f"strategy has to be one of {STRATEGIES}")

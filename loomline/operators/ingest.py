@@ -101,5 +101,10 @@ def migrated_date_by_age(document_date: Column, as_of: Column, years: int) -> Co
     return F.coalesce(document_date, F.date_format(F.date_sub(as_of, 365 * years), "yyyy-MM-dd"))
 
 
+def migrated_documents(docs: DataFrame, as_of: Column, document_date: str = "document_date", last_updated: str = "last_updated") -> DataFrame:
+    """The documents of an archive as they go to the active folder: each with a document date, all else as it is."""
+    return docs.withColumn(document_date, migrated_date(F.col(document_date), F.col(last_updated), as_of))
+
+
 def migration_counts(before: DataFrame, date: str = "document_date") -> DataFrame:
     return before.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col(date).isNull()).alias("converted"))

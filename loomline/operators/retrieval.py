@@ -65,8 +65,18 @@ def confidence(n: Column, mean: Column) -> Column:
     return F.when(n == 0, NO_CONFIDENCE).otherwise(F.least(F.coalesce(mean, F.lit(UNSCORED)), F.lit(1.0)))
 
 
+def health_state(collection) -> dict:
+    """status, n_points, dimensions of a vector collection: not_initialized without one, error with its message if it cannot be read."""
+    if collection is None:
+        return {"status": "not_initialized", "n_points": 0, "dimensions": 0}
+    try:
+        return collection.describe()
+    except Exception as e:  # noqa: BLE001
+        return {"status": "error", "n_points": 0, "dimensions": 0, "error": f"{type(e).__name__}: {e}"}
+
+
 def health(points: DataFrame, vector: str = "embedding") -> DataFrame:
-    """(status, n_points, dimensions) of a collection."""
+    """(status, n_points, dimensions) of a collection's points."""
     return points.agg(F.count(F.lit(1)).alias("n_points"), F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("dimensions")).select(
         F.when(F.col("n_points") > 0, "healthy").otherwise("collection_not_found").alias("status"), "n_points", "dimensions"
     )

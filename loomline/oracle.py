@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from loomline.functions import html as H
 from loomline.functions import text as T
 from loomline.operators.timestamps import MONTHS
+from loomline.sources.tools import COMMUNITY_HEALTH, EXCLUDED, OFFICIAL_HOUSING, Topics
 
 _AS_OF = "TIMESTAMP '2025-06-01 00:00:00'"
 _WS = r"[\s\x0b\x0c\x1c-\x1f\x{85}\p{Z}]"
@@ -142,6 +144,75 @@ x AS (SELECT rec_table, rec_id, field, status, CASE WHEN status = 'date' THEN da
   FROM u WHERE status IS NOT NULL)
 """
 
+
+_SPLIT_LINES = r"'\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]'"
+_WORD = r"\p{L}\p{M}\p{N}\p{Pc}"
+
+
+def _topic_path(topic: str, topics: Topics) -> str:
+    before, after = topics.pattern.split("{}")
+    known = " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in topics.known.items())
+    other = f"{_quoted(before)} || {topic} || {_quoted(after)}"
+    return f"CASE WHEN coalesce({topic}, '') = '' THEN {_quoted(topics.default)} WHEN starts_with({topic}, '/') THEN {topic} ELSE " + (f"CASE lower({topic}) {known} ELSE {other} END" if known else other) + " END"
+
+
+def _mentions(x: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({x}), {_quoted(w)})" for w in words) + ")"
+
+
+_LINK = "'- [' || x.\"text\" || '](' || x.href || ')'"
+_TOOL_PAGE = f"""'# ' || coalesce(title, 'Untitled') || chr(10) || chr(10) || '**Source:** ' || url || chr(10) || chr(10) || '## Content' || chr(10) || coalesce(content, '') ||
+  CASE WHEN coalesce(len(links), 0) > 0 THEN chr(10) || chr(10) || '## Links' || chr(10) || array_to_string([{_LINK} FOR x IN links[1:10]], chr(10)) ELSE '' END"""
+_ONE_COPY = "SELECT * FROM page_cache QUALIFY row_number() OVER (PARTITION BY url ORDER BY scraped_at DESC, page_id DESC) = 1"
+#: The link to the next page: the first that says so, or has another address with "page" in it.
+_NEXT = f"""[x.href FOR x IN links IF (contains(lower(x.href), 'page') AND x.href <> url) OR {_mentions('x."text"', T.NEXT_PAGE)}][1]"""
+_CHAIN = f"""
+WITH RECURSIVE o AS ({_ONE_COPY}), n AS (SELECT url, {_NEXT} AS next_url FROM o WHERE url IS NOT NULL),
+c AS (
+  SELECT url AS start_url, url, [url] AS seen, 1 AS page_no FROM n
+  UNION ALL SELECT c.start_url, n.next_url, list_append(c.seen, n.next_url), c.page_no + 1 FROM c JOIN n ON n.url = c.url
+  WHERE c.page_no < 5 AND n.next_url IS NOT NULL AND NOT list_contains(c.seen, n.next_url) AND n.next_url IN (SELECT url FROM n))
+"""
+_FRESH_COPY = f"SELECT * FROM page_cache WHERE {_FRESH} <= 31536000 QUALIFY row_number() OVER (PARTITION BY url ORDER BY scraped_at DESC, page_id DESC) = 1"
+_READ = f"""
+WITH u AS (SELECT DISTINCT metadata.url AS url FROM ingested_docs WHERE metadata.url IS NOT NULL), h AS ({_FRESH_COPY}),
+f AS (SELECT u.url, CASE WHEN h.url IS NOT NULL THEN h.title WHEN length(u.url) % 2 = 1 THEN 'Page' END AS title, h.url IS NOT NULL AS cached, coalesce(h.scraped_at, '2025-06-01T00:00:00') AS scraped_at,
+    CASE WHEN h.url IS NOT NULL THEN len(h.links) WHEN length(u.url) % 2 = 1 THEN 1 END::INTEGER AS n_links, CASE WHEN h.url IS NULL AND length(u.url) % 2 = 0 THEN 'no content' END AS error
+  FROM u LEFT JOIN h ON h.url = u.url)
+"""
+
+
+def _gate(text: str) -> str:
+    """Why a message is not let through."""
+    return f"""CASE WHEN {" OR ".join(f"regexp_matches(lower({text}), {_quoted(p)})" for p in T.SPAM)} THEN 'spam_detected' WHEN length({text}) > 4096 THEN 'message_too_long'
+      WHEN {text} IS NULL OR {_strip(text)} = '' THEN 'empty_message' ELSE '' END"""
+
+
+def _language(text: str) -> str:
+    words = rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+    uk, ru = f"regexp_matches(lower({text}), '[{T.UKRAINIAN_LETTERS}]')", f"regexp_matches(lower({text}), '[{T.RUSSIAN_LETTERS}]')"
+    n_uk, n_ru = (f"len([x FOR x IN {words} IF x IN ({_any(w)})])" for w in (T.UKRAINIAN_WORDS, T.RUSSIAN_WORDS))
+    letters, cyrillic = rf"length(regexp_replace({text}, '[^\p{{L}}]+', '', 'g'))", rf"length(regexp_replace({text}, '[^\x{{0400}}-\x{{04FF}}]+', '', 'g'))"
+    return f"""CASE WHEN {text} IS NULL OR {_strip(text)} = '' THEN 'unknown' WHEN {uk} AND NOT {ru} THEN 'uk' WHEN {ru} AND NOT {uk} THEN 'ru' WHEN {n_uk} > {n_ru} THEN 'uk'
+      WHEN {n_ru} > {n_uk} THEN 'ru' WHEN {letters} > 0 AND {cyrillic} > 0.5 * {letters} THEN 'uk' ELSE 'unknown' END"""
+
+
+def _intent(column: str) -> str:
+    scores = {name: _score(column, words) for name, words in T.INTENTS.items()}
+    best = "greatest(" + ", ".join(scores.values()) + ")"
+    return f"CASE WHEN {best} < 1 THEN 'uncertain' " + " ".join(f"WHEN {s} = {best} THEN '{n}'" for n, s in scores.items()) + " END"
+
+
+#: Single marks to be escaped, by signs that stand in no text; each is done twice, as neighbouring ones share a sign.
+_ONCE = rf"regexp_replace({{x}}, '(^|[^{_WORD}])_([^{_WORD}]|$)', '\1' || chr(4) || '\2', 'g')"
+_STAR = r"regexp_replace({x}, '(^|[^*])\*([^*]|$)', '\1' || chr(3) || '\2', 'g')"
+#: Brackets in front of no address, by signs that stand in no text.
+_BRACKET = r"regexp_replace({x}, '\[([^\]\x01\x02]*)\]([^(]|$)', chr(1) || '\1' || chr(2) || '\2', 'g')"
+
+
+def _twice(pattern: str, x: str) -> str:
+    return pattern.replace("{x}", pattern.replace("{x}", x))
+
 ORACLE: dict[str, str] = {
     "clean_text": f"SELECT doc_id, {_CLEAN} AS text FROM documents",
     "clean_lines": rf"""
@@ -206,6 +277,97 @@ SELECT file_name, 'renamed' AS change, field, old_field FROM renamed
 UNION ALL SELECT file_name, 'added', path, '' FROM came ANTI JOIN renamed ON renamed.file_name = came.file_name AND renamed.field = came.path
 UNION ALL SELECT file_name, 'removed', path, '' FROM gone ANTI JOIN renamed ON renamed.file_name = gone.file_name AND renamed.old_field = gone.path
 UNION ALL SELECT file_name, 'type_changed', path, '' FROM c JOIN o USING (feed, file_name, path) WHERE c.type <> o.type""",
+    "scan_json": f"""
+SELECT {_strip("text")} AS text, metadata.source AS source, metadata.title AS title, metadata.url AS url, metadata.category AS category, metadata.language AS language,
+  metadata.last_updated AS last_updated, metadata.scraped_at AS scraped_at, 'manual' AS document_type FROM ingested_docs WHERE {_strip("text")} <> ''""",
+    "scan_text": f"""
+SELECT {_strip("t")} AS text, 'manual' AS source, 'text' AS type, '2025-06-01 00:00:00' AS scraped_at FROM (SELECT max(coalesce(text, '')) AS t FROM ingested_docs GROUP BY run_id) WHERE {_strip("t")} <> ''""",
+    "scan_markdown": f"""
+SELECT 'Run ' || r AS title, {_strip("'first line' || chr(10) || '# Run ' || r || ' ' || chr(10) || t")} AS text, 'markdown' AS type
+FROM (SELECT min(record_id) AS r, max(coalesce(text, '')) AS t FROM ingested_docs GROUP BY run_id)""",
+    "migrated_documents": r"""
+SELECT record_id, text, coalesce(metadata.document_date, CASE WHEN metadata.last_updated IS NULL THEN '2024-06-01'
+    WHEN regexp_full_match(metadata.last_updated, '\d{4}-\d{1,2}-\d{1,2}') AND try_cast(metadata.last_updated AS DATE) IS NOT NULL THEN metadata.last_updated ELSE '2023-01-01' END) AS document_date
+FROM ingested_docs WHERE text IS NOT NULL""",
+    "official_pages": f"""
+WITH p AS (SELECT page_id, title, [{_strip("x")} FOR x IN string_split(content, chr(10)) IF {_strip("x")} <> ''] AS parts FROM page_cache WHERE content IS NOT NULL)
+SELECT page_id, CASE WHEN {_strip("coalesce(title, '')")} = '' THEN 'Untitled' ELSE {_strip("title")} END AS title,
+  array_to_string(list_append([x FOR x IN parts IF length(x) >= 20 AND NOT {_mentions("x", list(H.OFFICIAL.phrases))}], '• an item of the list'), chr(10) || chr(10)) AS content, len(parts)::INTEGER AS num_paragraphs FROM p""",
+    "community_pages": f"""
+WITH p AS (SELECT page_id, [{_strip("x")} FOR x IN regexp_split_to_array(content, {_SPLIT_LINES}) IF {_strip("x")} <> ''] AS parts FROM page_cache WHERE content IS NOT NULL)
+SELECT page_id, array_to_string(parts, chr(10)) AS content, length(array_to_string(parts, chr(10)))::INTEGER AS content_length FROM p WHERE length(array_to_string(parts, chr(10))) >= 100""",
+    "robots_allowed": r"""
+WITH u AS (SELECT DISTINCT url, lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?#:]*)', 1)) AS host, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*(.*)$', 1) AS path FROM page_cache WHERE url IS NOT NULL)
+SELECT url FROM u WHERE length(host) % 2 = 1 OR NOT (starts_with(path, '/housing') OR starts_with(path, '/visas'))""",
+    "fetched_pages": _READ + "SELECT * FROM f",
+    "cache_merged": _READ + f"""
+SELECT md5(url) AS cache_key, url, scraped_at, title FROM f WHERE NOT cached AND error IS NULL
+UNION ALL SELECT md5(url), url, scraped_at, title FROM ({_ONE_COPY}) WHERE {_FRESH} <= 31536000 AND url NOT IN (SELECT url FROM f WHERE NOT cached AND error IS NULL)""",
+    "topic_paths": f"""
+SELECT doc_id, {_topic_path("category", OFFICIAL_HOUSING)} AS official_housing, '/register-with-a-gp' AS official_health, {_topic_path("category", COMMUNITY_HEALTH)} AS community_health FROM documents""",
+    "tool_calls": f"""
+SELECT {_TOOL_PAGE} AS page, NULL::VARCHAR AS error FROM page_cache WHERE url = (SELECT min(url) FROM page_cache)
+UNION ALL SELECT NULL, 'Missing parameter: path' UNION ALL SELECT NULL, 'Unknown tool: none'""",
+    "scraped_pages": f"""
+SELECT page_id, array_to_string([x FOR x IN ['# ' || coalesce(title, 'Untitled'), '**Source:** ' || url, '**Scraped:** ' || strftime(try_cast(scraped_at AS TIMESTAMP), '%Y-%m-%d %H:%M') || ' UTC',
+  CASE WHEN cached THEN '**Status:** Cached content' END, '**Published:** ' || nullif(metadata.publication_date, ''), '', '## Content' || chr(10) || coalesce(content, '') || chr(10),
+  CASE WHEN len(links) > 0 THEN '## Relevant Links' || chr(10) || array_to_string([{_LINK} FOR x IN links[1:10]], chr(10)) || chr(10) END, '## Metadata',
+  '- Content length: ' || coalesce(metadata.content_length, 0) || ' characters', '- Number of links: ' || coalesce(metadata.num_links, 0),
+  CASE WHEN coalesce(contains(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), 'info'), false) THEN '- **Official UK Government Source**' END] IF x IS NOT NULL], chr(10)) AS page
+FROM page_cache WHERE url IS NOT NULL""",
+    "linked_pages": f"""
+WITH l AS (SELECT {_strip('x."text"')} AS text, CASE WHEN starts_with(x.href, '//') THEN regexp_extract(url, '^([A-Za-z]+:)', 1) || x.href WHEN starts_with(x.href, '/') THEN {_URL_TRIM} || x.href ELSE x.href END AS href
+  FROM (SELECT url, unnest(links) AS x FROM page_cache))
+SELECT DISTINCT href AS url FROM l WHERE coalesce(text, '') <> '' AND coalesce(href, '') <> '' AND NOT {_mentions("href", T.SKIP_LINKS)} AND NOT {_mentions("href", EXCLUDED)}""",
+    "search_triggers": f"""
+WITH q AS (SELECT doc_id, coalesce(title, '') AS q, doc_id % 4 AS found FROM documents)
+SELECT doc_id, found < 2 OR {_mentions("q", [*T.FRESH_WORDS, *T.SCHEME_WORDS])} AS needed, CASE WHEN {_mentions("q", T.HEALTH_WORDS)} THEN 'health' ELSE 'housing' END AS subject FROM q""",
+    "chunk_ordinals": f"""
+WITH c AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS document_index, {_CLEAN} AS t FROM documents),
+w AS (SELECT doc_id, document_index, t, unnest(generate_series(0, length(t) - 1, 450)) AS s FROM c WHERE length(t) > 0)
+SELECT doc_id, document_index, (row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1)::INTEGER AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INTEGER AS total_chunks
+FROM w WHERE trim(substring(t, (s + 1)::BIGINT, 500), ' ') <> ''""",
+    "collection_search": "WITH " + _PAIRS.format(extra="v.label,", where="", having="") + "SELECT query_id, vec_id AS point_id, round(score, 6) AS score, rank::INTEGER AS rank, label FROM r WHERE rank <= 5",
+    "index_chunks": f"""
+WITH RECURSIVE d AS (SELECT doc_id AS unit, {_CLEAN} AS t FROM documents),{_SENTENCE_CHUNKS},
+i AS (SELECT unit, text, row_number() OVER (PARTITION BY unit ORDER BY k, c) - 1 AS chunk_index FROM sentence_chunks)
+SELECT i.unit AS doc_id, i.chunk_index::INTEGER AS chunk_index, md5(coalesce(d.url, '') || chr(31) || i.chunk_index) AS point_id, 64 AS dimensions
+FROM i JOIN documents d ON d.doc_id = i.unit WHERE regexp_matches(i.text, '[\\p{{L}}\\p{{N}}_]')""",
+    "gated_messages": f"""
+WITH m AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '@helper ' ELSE '' END || title AS text FROM documents WHERE title IS NOT NULL)
+SELECT doc_id AS user_id, {_strip("replace(text, '@helper', '')")} AS question, {_gate("text")} AS rejected, {_language("text")} AS language FROM m WHERE contains(text, '@helper') OR doc_id % 5 = 0""",
+    "format_message": f"""
+WITH a AS (SELECT doc_id, title, source, url, {_twice(_STAR, _twice(_ONCE, "text"))} AS t FROM documents),
+b AS (SELECT * EXCLUDE t, replace(replace(replace(replace({_twice(_BRACKET, "t")}, chr(1), '\\['), chr(2), '\\]'), chr(3), '\\*'), chr(4), '\\_') AS t FROM a),
+c AS (SELECT * EXCLUDE t, regexp_replace(t, '([\U0001f600-\U0001f64f\U0001f480-\U0001f6d4])([А-Яа-яA-Za-z])', '\\1 \\2', 'g') AS t FROM b),
+d AS (SELECT * EXCLUDE t, regexp_replace(regexp_replace(t, '\\n{{3,}}', chr(10) || chr(10), 'g'), '([^\\n])([{T.SECTION_SIGNS}])', '\\1' || chr(10) || chr(10) || '\\2', 'g') AS t FROM c),
+e AS (SELECT doc_id, CASE WHEN regexp_matches(lower(t), '🔗[^\\n]*(джерел|посилан)') OR coalesce(url, '') = '' THEN t ELSE t || chr(10) || chr(10) || '🔗 Джерела:' || chr(10) ||
+    '• ' || CASE WHEN coalesce(title, '') <> '' THEN title || ': ' WHEN coalesce(source, '') <> '' THEN source || ': ' ELSE '' END || url || chr(10) END AS text FROM d),
+f AS (SELECT doc_id, text, greatest(length(h) - length(regexp_extract(h, '[^.]*$')), length(h) - length(regexp_extract(h, '[^\\n]*$'))) - 1 AS b FROM (SELECT doc_id, text, substring(text, 1, 3800) AS h FROM e))
+SELECT doc_id, {_TRUNCATED} AS message FROM f""",
+    "message_replies": f"""
+WITH RECURSIVE m AS (SELECT doc_id, doc_id % 100 AS user_id, scraped_at, coalesce(title, ' ') AS text FROM documents WHERE doc_id % 7 <> 0),
+e AS (SELECT *, epoch(scraped_at) AS t, row_number() OVER (PARTITION BY user_id ORDER BY scraped_at, doc_id) AS k FROM m WHERE scraped_at IS NOT NULL),
+s AS (
+  SELECT doc_id, user_id, k, [t] AS log, true AS admitted FROM e WHERE k = 1
+  UNION ALL
+  SELECT e.doc_id, e.user_id, e.k, CASE WHEN len([x FOR x IN s.log IF e.t - x < 2592000]) < 2 THEN list_append([x FOR x IN s.log IF e.t - x < 2592000], e.t) ELSE [x FOR x IN s.log IF e.t - x < 2592000] END,
+    len([x FOR x IN s.log IF e.t - x < 2592000]) < 2 FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1),
+g AS (SELECT m.doc_id, m.user_id, CASE WHEN NOT coalesce(s.admitted, false) THEN 'rate_limited' WHEN {_gate("m.text")} <> '' THEN {_gate("m.text")} ELSE 'answered' END AS status, {_strip("m.text")} AS q
+  FROM m LEFT JOIN s USING (doc_id))
+SELECT doc_id AS message_id, user_id, status, {_language("q")} AS language, q AS question, CASE WHEN status = 'answered' THEN {_intent("q")} END AS intent FROM g""",
+    "pages_followed": _CHAIN + "SELECT start_url, page_no::INTEGER AS page_no, url FROM c",
+    "pages_aggregated": _CHAIN + """,
+p AS (SELECT c.start_url, c.page_no, o.* FROM c JOIN o ON o.url = c.url),
+g AS (
+  SELECT start_url, count(*)::INTEGER AS num_pages, max(title) FILTER (page_no = 1) AS title,
+    string_agg(CASE WHEN page_no = 1 THEN coalesce(content, '') ELSE chr(10) || chr(10) || '--- Page ' || page_no || ' ---' || chr(10) || chr(10) || coalesce(content, '') END, chr(10) ORDER BY page_no) AS content,
+    sum(coalesce(metadata.num_paragraphs, 0))::INTEGER AS total_paragraphs, len(list_distinct([x.href FOR x IN flatten(list(coalesce(links, []) ORDER BY page_no)) IF x.href IS NOT NULL]))::INTEGER AS total_links,
+    first(metadata.publication_date ORDER BY page_no) FILTER (coalesce(metadata.publication_date, '') <> '') AS first_publication_date,
+    last(metadata.publication_date ORDER BY page_no) FILTER (coalesce(metadata.publication_date, '') <> '') AS latest_publication_date
+  FROM p GROUP BY start_url)
+SELECT start_url AS url, CASE WHEN num_pages = 1 THEN title ELSE title || ' (Pages 1-' || num_pages || ')' END AS title, content, num_pages, total_paragraphs, total_links,
+  length(content)::INTEGER AS content_length, first_publication_date, latest_publication_date, 'cache' AS source FROM g""",
     "document_ordinal": "SELECT source, doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS document_index FROM documents",
     "first_heading": f"SELECT doc_id, {_strip("coalesce(title, '?')")} AS heading FROM documents",
     "route_intent": "SELECT doc_id, "

@@ -12,8 +12,8 @@ from loomline.functions import html as H
 from loomline.functions import text as T
 from loomline.operators import chunking, ingest, retrieval, schema_drift, timestamps, vector
 from loomline.plans import pipelines
-from loomline.session import table
-from loomline.sources import pages
+from loomline.session import shared_folder, table
+from loomline.sources import documents, pages, store, tools
 from loomline.streaming import limits
 
 
@@ -302,6 +302,149 @@ def gated_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipelines.gate_messages(messages, "helper").select("user_id", "question", "rejected", "language")
 
 
+def _runs_written(spark: SparkSession, sf_dir: str, value, form: str) -> str:
+    """A file for each ingest run below a shared folder; the folder."""
+    folder = shared_folder(spark, form)
+    runs = table(spark, sf_dir, "ingested_docs").groupBy("run_id").agg(value)
+    writer = runs.write.partitionBy("run_id")
+    writer.option("ignoreNullFields", False).json(folder) if form == "json" else writer.text(folder)
+    return folder
+
+
+def scan_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ingested documents written as JSON files, one a run, and scanned."""
+    folder = _runs_written(spark, sf_dir, F.collect_list(F.struct("text", "metadata")).alias("documents"), "json")
+    return documents.load_documents(spark, folder, "json", as_of=AS_OF).select("text", "source", "title", "url", "category", "language", "last_updated", "scraped_at", "document_type")
+
+
+def scan_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _runs_written(spark, sf_dir, F.max(F.coalesce("text", F.lit(""))).alias("value"), "text")
+    return documents.load_documents(spark, folder, "txt", as_of=AS_OF).select("text", "source", "type", "scraped_at")
+
+
+def scan_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.concat(F.lit("first line\n# Run "), F.min("record_id").cast("string"), F.lit(" \n"), F.max(F.coalesce("text", F.lit(""))))
+    folder = _runs_written(spark, sf_dir, body.alias("value"), "markdown")
+    return documents.load_documents(spark, folder, "markdown", as_of=AS_OF, pattern="*.txt").select("title", "text", "type")
+
+
+def migrated_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of documents migrated, written to the active folder and read back."""
+    archive = table(spark, sf_dir, "ingested_docs").where("text is not null").select("record_id", "text", "metadata.document_date", "metadata.last_updated")
+    folder = shared_folder(spark, "active")
+    documents.write_documents(ingest.migrated_documents(archive, _as_of().cast("date")), folder)
+    return documents.read_written(spark, folder).select("record_id", "text", "document_date")
+
+
+def official_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached content as the main column of an official page, read with that site's profile."""
+    cache = table(spark, sf_dir, "page_cache").where("content is not null")
+    lines = F.filter(F.transform(F.split("content", "\n", -1), T.strip), lambda x: x != "")
+    body = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<p>"), H.escaped(x), F.lit("</p>"))), "")
+    html = F.concat(F.lit("<html><body><header><p>a long line of the header of the site</p></header><h1>"), H.escaped(F.coalesce("title", F.lit(""))), F.lit(f"</h1><div class='x {H.OFFICIAL.containers[0][1:]}'>"), body, F.lit("<ul><li>an item of the list<li>short</ul></div><p>a long line beside the main column</p></body></html>"))
+    return cache.select("page_id", H.page(html, F.lit("https://a.example/"), H.OFFICIAL).alias("p")).select("page_id", "p.title", "p.content", "p.num_paragraphs")
+
+
+def community_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cached content in the container of a community page, read whole."""
+    cache = table(spark, sf_dir, "page_cache").where("content is not null")
+    html = F.concat(F.lit("<body><nav>menu</nav><div class='content'><aside>aside</aside>"), H.escaped(F.col("content")), F.lit("</div>outside</body>"))
+    return cache.select("page_id", H.page(html, None, H.COMMUNITY_WHOLE).alias("p")).where("p.content is not null").select("page_id", "p.content", "p.content_length")
+
+
+def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    urls = table(spark, sf_dir, "page_cache").select("url").where("url is not null").distinct()
+    rules = urls.select(T.url_host(F.col("url")).alias("host")).where("length(host) % 2 = 0").distinct()
+    rules = rules.withColumn("text", F.lit("User-agent: *\nDisallow: /housing\nDisallow: /visas\n"))
+    return pages.allowed(urls, rules)
+
+
+def _canned(url: str) -> str | None:
+    """A page made of its address; addresses of an even length have none."""
+    return f"<h1>Page</h1><p>{len(url)} letters</p><a href='/on'>on</a>" if len(url) % 2 else None
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    urls = table(spark, sf_dir, "ingested_docs").select(F.col("metadata.url").alias("url"))
+    cache = table(spark, sf_dir, "page_cache")
+    return cache, pages.fetch_pages(urls, cache, _canned, _as_of(), {}, ttl=365 * 86400, retries=1)
+
+
+def fetched_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of the ingested documents from the cache, or from a canned site."""
+    return _fetched(spark, sf_dir)[1].select("url", "title", "cached", "scraped_at", F.size("links").alias("n_links"), "error")
+
+
+def cache_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache, read = _fetched(spark, sf_dir)
+    return pages.merged_cache(cache, read, _as_of(), 365 * 86400).select("cache_key", "url", "scraped_at", "title")
+
+
+def topic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    topic = F.col("category")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", tools.OFFICIAL_HOUSING.path_column(topic).alias("official_housing"), tools.OFFICIAL_HEALTH.path_column(F.lit("GP")).alias("official_health"),
+        tools.COMMUNITY_HEALTH.path_column(topic).alias("community_health"),
+    )
+
+
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of the cache by the path tool of its site, and a call without its parameter."""
+    cache = table(spark, sf_dir, "page_cache")
+    first = cache.agg(F.min("url")).first()[0]
+    root = "/".join(first.split("/")[:3])
+    known = tools.site_tools(root, root)
+    found = tools.call(cache, "official_page", {"path": first[len(root) :]}, known)
+    return found.unionByName(tools.call(cache, "community_page", {}, known)).unionByName(tools.call(cache, "none", {}, known))
+
+
+def scraped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("metadata")
+    page = T.scraped_page(
+        F.coalesce("title", F.lit("Untitled")), F.col("url"), F.col("scraped_at").try_cast("timestamp_ntz"), F.col("cached"), m["publication_date"], F.col("content"), F.col("links"),
+        m["content_length"], m["num_links"], T.in_domain(F.col("url"), "info"),
+    )
+    return table(spark, sf_dir, "page_cache").where("url is not null").select("page_id", page.alias("page"))
+
+
+def linked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.linked(table(spark, sf_dir, "page_cache"))
+
+
+def search_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("q"), (F.col("doc_id") % 4).alias("found"))
+    return docs.select("doc_id", T.needs_search(F.col("q"), F.col("found")).alias("needed"), T.search_subject(F.col("q")).alias("subject"))
+
+
+def chunk_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chunking.chunk_documents(docs, strategy="fixed", order=["doc_id"]).select("doc_id", "document_index", "chunk_index", "total_chunks")
+
+
+def collection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors put into a collection in two batches, every 50th searched for."""
+    vectors, queries = _queries_of(spark, sf_dir)
+    points = vectors.select(F.col("vec_id").alias("point_id"), "embedding", F.lit("t").alias("text"), "label")
+    collection = store.Collection(spark, shared_folder(spark, "collection"), 8)
+    collection.create(vectors.select(F.size("embedding")).first()[0])
+    collection.upsert(points.where("point_id % 3 <> 0").withColumn("label", F.lit(-1)))
+    collection.upsert(points.where("point_id % 3 <> 1 or point_id % 2 = 0"))
+    collection.upsert(points.where("point_id % 3 = 1 and point_id % 2 = 1"))
+    found = collection.search(queries, threshold=None)
+    return found.join(collection.points().select("point_id", "label"), "point_id").select("query_id", "point_id", F.round("score", 6).alias("score"), "rank", "label")
+
+
+def message_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document titles as private messages of a hundred users, answered from the cached chunks."""
+    points = table(spark, sf_dir, "chunks").select(F.col("chunk_id").cast("string").alias("point_id"), "text", F.col("metadata.source").alias("source"), vector.embed(F.col("text"), 64).alias("embedding"))
+    messages = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("message_id"), (F.col("doc_id") % 100).alias("user_id"), F.col("scraped_at").alias("ts"), F.coalesce("title", F.lit(" ")).alias("text"), F.lit("private").alias("chat_type"),
+        F.lit(False).alias("is_command"), (F.col("doc_id") % 7 == 0).alias("is_edited"), F.lit(False).alias("is_reply"),
+    )
+    replies = pipelines.reply_messages(messages, points, "helper", 64, limit=2, window=30 * 86400.0, threshold=0.1)
+    return replies.select("message_id", "user_id", "status", "language", "question", "intent")
+
+
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "ingested_docs")
     pages = table(spark, sf_dir, "page_cache")
@@ -337,7 +480,8 @@ CORE = (
     message_gate, compose_text, format_message, source_section, guarded_text, url_parts, page_links, page_counts, cache_fresh, cache_expired, cache_misses, cache_newest,
     pages_followed, pages_aggregated, html_pages, tool_pages, document_dates, date_order, migrated_dates, migration_counts, normalised_records, union_sources,
     ingest_statistics, run_statistics, upsert_latest, upsert_runs, vector_topk, vector_topk_filtered, vector_threshold, vector_health, retrieve_context, index_chunks,
-    answer_questions, rate_limit, throttle, status_changes, gated_messages,
+    answer_questions, rate_limit, throttle, status_changes, gated_messages, scan_json, scan_text, scan_markdown, migrated_documents, official_pages, community_pages,
+    robots_allowed, fetched_pages, cache_merged, topic_paths, tool_calls, scraped_pages, linked_pages, search_triggers, chunk_ordinals, collection_search, message_replies,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*CORE, p5_found, p5_report, p7_found, p7_table)}

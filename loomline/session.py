@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,13 +40,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     refused: its executors would write to the disks of their own machines. Files go when the
     data frame does if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    context = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str = "") -> str:
+    """A folder all executors share, below that of the checkpoints; see ``checkpointed``."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="loomline-checkpoint-"))
-    return df.checkpoint(eager=True)
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}" if name else context.getCheckpointDir()
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

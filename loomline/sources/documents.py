@@ -20,9 +20,9 @@ KEYS = ("source", "file", "title", "url", "scraped_at", "document_date", "docume
 _SCHEMA = "text string, " + ", ".join(f"{k} string" for k in KEYS)
 
 
-def _files(spark: SparkSession, path: str, kind: str, recursive: bool) -> DataFrame:
+def _files(spark: SparkSession, path: str, kind: str, recursive: bool, pattern: str | None) -> DataFrame:
     files = (
-        spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", FORMATS[kind]).text(path, wholetext=True)
+        spark.read.option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern or FORMATS[kind]).text(path, wholetext=True)
         .select("value", "_metadata.file_name", "_metadata.file_path", F.col("_metadata.file_modification_time").alias("modified"))
     )
     return files.where(~F.lower("file_name").isin(*SKIPPED[kind])) if SKIPPED[kind] else files
@@ -86,9 +86,12 @@ def text_documents(files: DataFrame, as_of: str | None = None, markdown: bool =
 
 
 def load_documents(
-    spark: SparkSession, path: str, kind: str = "json", recursive: bool = True, use_active_folder: bool = False, as_of: str | None = None
+    spark: SparkSession, path: str, kind: str = "json", recursive: bool = True, use_active_folder: bool = False, as_of: str | None = None, pattern: str | None = None
 ) -> DataFrame:
-    """The documents of a folder; only its ``active`` part if asked for. A missing folder or unknown kind gives no rows."""
+    """The documents of a folder; only its ``active`` part if asked for. A missing folder or unknown kind gives no rows.
+
+    ``pattern`` takes other file names than those of the kind.
+    """
     from pyspark.errors import AnalysisException
 
     empty = spark.createDataFrame([], _SCHEMA)
@@ -96,7 +99,7 @@ def load_documents(
         return empty
     folder = f"{path.rstrip('/')}/active" if use_active_folder else path
     try:
-        files = _files(spark, folder, kind, recursive)
+        files = _files(spark, folder, kind, recursive, pattern)
     except AnalysisException:
         return empty
     return json_documents(files, as_of) if kind == "json" else text_documents(files, as_of, kind == "markdown")

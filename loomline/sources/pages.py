@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomline.functions import html as H
 from loomline.functions.text import cache_key, next_page, url_host
 
 TTL_SECONDS, MOST_PAGES, RETRIES = 24 * 3600, 5, 3
@@ -44,26 +45,47 @@ def newest_copies(cache: DataFrame) -> DataFrame:
     return best.select("key", "n_copies", "r.*")
 
 
-def allowed(urls: DataFrame, robots: dict[str, str], agent: str = "*") -> DataFrame:
-    """URLs the robots rules of their host allow. Hosts without rules allow everything."""
-    rules = urls.sparkSession.sparkContext.broadcast(robots)
+def one_copy(pages: DataFrame) -> DataFrame:
+    """One row a URL, always the same: the last copy by time and id, or by all columns where there are none."""
+    order = [c for c in ("scraped_at", "page_id") if c in pages.columns] or pages.columns
+    return pages.groupBy("url").agg(F.max_by(F.struct(*pages.columns), F.struct(*order)).alias("__r")).select("__r.*")
+
+
+def robots_rules(urls: DataFrame, known: DataFrame, get: Callable[[str], str | None], as_of: Column, ttl: int = TTL_SECONDS) -> DataFrame:
+    """(host, text, fetched_at): the rules of each host; those known for no longer than the time to live are not fetched again.
+
+    A host whose rules cannot be fetched has a null text, which allows everything.
+    """
+    hosts = urls.select(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*)", 1).alias("root"), url_host(F.col("url")).alias("host")).where("host is not null")
+    hosts = hosts.groupBy("host").agg(F.min("root").alias("root"))
+    valid = known.where(age_seconds(F.col("fetched_at"), as_of) <= ttl).select("host", "text", "fetched_at")
+    missing = hosts.join(valid, "host", "left_anti").select("host", F.concat("root", F.lit("/robots.txt")).alias("url"))
+    got = fetch(missing, get, retries=1).select("url", F.col("html").alias("text"))
+    fetched = missing.join(got, "url").select("host", "text", F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("fetched_at"))
+    return hosts.select("host").join(valid, "host").unionByName(fetched)
+
+
+def allowed(urls: DataFrame, robots: DataFrame | dict[str, str], agent: str = "*") -> DataFrame:
+    """URLs the robots rules of their host allow, rules being (host, text). Hosts without rules allow everything."""
+    if isinstance(robots, dict):
+        robots = urls.sparkSession.createDataFrame(list(robots.items()), "host string, text string")
+    rules = robots.groupBy(F.col("host").alias("__host")).agg(F.max("text").alias("__rules"))
 
     @F.pandas_udf("boolean")
-    def may(hosts: pd.Series, links: pd.Series) -> pd.Series:
+    def may(texts: pd.Series, links: pd.Series) -> pd.Series:
         parsed: dict[str, RobotFileParser] = {}
         out = []
-        for host, url in zip(hosts, links):
-            text = rules.value.get(host)
-            if text is None:
+        for text, url in zip(texts, links):
+            if not isinstance(text, str) or not isinstance(url, str):
                 out.append(True)
                 continue
-            if host not in parsed:
-                parsed[host] = RobotFileParser()
-                parsed[host].parse(text.splitlines())
-            out.append(parsed[host].can_fetch(agent, url))
+            if text not in parsed:
+                parsed[text] = RobotFileParser()
+                parsed[text].parse(text.splitlines())
+            out.append(parsed[text].can_fetch(agent, url))
         return pd.Series(out, dtype=bool)
 
-    return urls.where(may(url_host(F.col("url")), F.col("url")))
+    return urls.join(rules, url_host(F.col("url")) == F.col("__host"), "left").where(may(F.col("__rules"), F.col("url"))).drop("__host", "__rules")
 
 
 def fetch(urls: DataFrame, get: Callable[[str], str | None], retries: int = RETRIES, pause: Callable[[int], float] = lambda n: 2.0 * (n + 1)) -> DataFrame:
@@ -90,12 +112,47 @@ def fetch(urls: DataFrame, get: Callable[[str], str | None], retries: int = RETR
     return urls.select("url").distinct().mapInPandas(run, "url string, html string, error string")
 
 
+def fetch_pages(
+    urls: DataFrame, cache: DataFrame, get: Callable[[str], str | None], as_of: Column, robots: DataFrame | dict[str, str] | None = None, profile: H.Profile = H.GENERIC,
+    ttl: int = TTL_SECONDS, **options,
+) -> DataFrame:
+    """(url, title, content, links, scraped_at, cached, error): each distinct URL from the cache if it is fresh there, else fetched and parsed if allowed.
+
+    The cache holds (page_id, url, title, content, links, scraped_at). A page that may not be
+    fetched has the error ``disallowed``, one without content ``no content``.
+    """
+    wanted = urls.select("url").where("url is not null").distinct()
+    columns = ("url", "title", "content", "links", "scraped_at")
+    held = one_copy(fresh(cache.select("page_id", *columns), as_of, ttl)).select(*columns)
+    hits = wanted.join(held, "url").withColumns({"cached": F.lit(True), "error": F.lit(None).cast("string")})
+    misses = wanted.join(held.select("url"), "url", "left_anti")
+    may = misses if robots is None else allowed(misses, robots)
+    read = fetch(may, get, **options).withColumn("p", H.page(F.col("html"), F.col("url"), profile))
+    links = held.schema["links"].dataType
+    got = read.select(
+        "url", "p.title", "p.content", F.col("p.links").cast(links).alias("links"), F.date_format(as_of, "yyyy-MM-dd'T'HH:mm:ss").alias("scraped_at"), F.lit(False).alias("cached"),
+        F.coalesce("error", F.when(F.col("p.content").isNull(), "no content")).alias("error"),
+    )
+    out = hits.unionByName(got)
+    if robots is not None:
+        out = out.unionByName(misses.join(may, "url", "left_anti").withColumns({"cached": F.lit(False), "error": F.lit("disallowed")}), allowMissingColumns=True)
+    return out
+
+
+def merged_cache(cache: DataFrame, pages: DataFrame, as_of: Column, ttl: int = TTL_SECONDS) -> DataFrame:
+    """The cache with newly read pages put over it, and without what has outlived the time to live; one row a key."""
+    new = pages.where("not cached and error is null").withColumn("cache_key", cache_key(F.col("url"))).drop("cached", "error")
+    old = one_copy(cache).withColumn("cache_key", cache_key(F.col("url")))
+    kept = fresh(old, as_of, ttl).join(new.select("cache_key"), "cache_key", "left_anti")
+    return kept.select(*[c for c in new.columns]).unionByName(new)
+
+
 def follow_pages(starts: DataFrame, pages: DataFrame, most: int = MOST_PAGES) -> DataFrame:
     """(start_url, page_no, url): from each start along the next-page links, at most ``most`` pages, no page twice.
 
     ``most`` joins on the URL; each step only carries the open chains.
     """
-    links = pages.select("url", next_page(F.col("links"), F.col("url")).alias("next_url")).dropDuplicates(["url"])
+    links = one_copy(pages).select("url", next_page(F.col("links"), F.col("url")).alias("next_url"))
     step = starts.select(F.col("url").alias("start_url"), "url", F.array("url").alias("seen"), F.lit(1).alias("page_no")).distinct()
     step = step.join(links, "url", "left")
     out = step.select("start_url", "page_no", "url")
@@ -108,7 +165,7 @@ def follow_pages(starts: DataFrame, pages: DataFrame, most: int = MOST_PAGES) ->
 
 def aggregate_pages(chain: DataFrame, pages: DataFrame, source: str) -> DataFrame:
     """Each chain as one page: contents joined with page marks, distinct links, sums, first and last date. Chains are bounded by ``follow_pages``."""
-    page = pages.dropDuplicates(["url"]).select(
+    page = one_copy(pages).select(
         "url", "title", "content", "links", F.col("metadata.num_paragraphs").alias("num_paragraphs"), F.col("metadata.publication_date").alias("publication_date")
     )
     rows = chain.join(page, "url")

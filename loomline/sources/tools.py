@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions import text as T
@@ -55,6 +55,61 @@ def linked(pages: DataFrame, words: list[str] | None = None, host: str | None =
     return out.select("url").distinct()
 
 
+@dataclass(frozen=True)
+class Topics:
+    """Where the pages of a subject stand on a site: the page without a topic, topics with a path of their own, the pattern of the others."""
+
+    default: str
+    pattern: str
+    known: dict = field(default_factory=dict, hash=False)
+
+    def path(self, topic: str | None) -> str:
+        if not topic:
+            return self.default
+        return topic if topic.startswith("/") else self.known.get(topic.lower(), self.pattern.format(topic))
+
+    def path_column(self, topic: Column) -> Column:
+        before, after = self.pattern.split("{}")
+        known = F.create_map(*[F.lit(x) for kv in self.known.items() for x in kv]) if self.known else F.lit(None).cast("map<string,string>")
+        other = F.concat(F.lit(before), topic, F.lit(after))
+        return F.when(F.coalesce(topic, F.lit("")) == "", self.default).when(topic.startswith("/"), topic).otherwise(F.coalesce(F.try_element_at(known, F.lower(topic)), other))
+
+
+#: The paths of the official site's subjects, and of the community site's.
+OFFICIAL_HOUSING = Topics("/housing-for-ukraine", "/housing/{}", {
+    "ukraine": "/housing-for-ukraine", "council": "/council-housing", "renting": "/private-renting", "benefit": "/housing-benefit", "homeless": "/homelessness",
+})
+OFFICIAL_HEALTH = Topics("/nhs-services", "/nhs/{}", {"gp": "/register-with-a-gp", "services": "/nhs-services", "emergency": "/emergency-medical-treatment"})
+OFFICIAL_SCHEME = Topics("/housing-for-ukraine", "/housing-for-ukraine")
+COMMUNITY_HOUSING, COMMUNITY_HEALTH = Topics("/housing", "/housing/{}"), Topics("/nhs", "/nhs/{}")
+
+
+def by_topic(base: str, topics: Topics) -> Callable[..., DataFrame]:
+    """The page of a topic on the site at ``base``."""
+    return lambda pages, topic="": by_url(pages, base.rstrip("/") + topics.path(topic))
+
+
+def by_path(base: str) -> Callable[..., DataFrame]:
+    return lambda pages, path: by_url(pages, base.rstrip("/") + (path if path.startswith("/") else "/" + path))
+
+
+def site_tools(official: str, community: str) -> dict[str, Tool]:
+    """The page tools of two sites: housing, health and any page of both, and the scheme page of the official one."""
+    topic = {"topic": ""}
+    return {
+        t.name: t
+        for t in (
+            Tool("community_housing", "The community site's page on housing, or a topic of it", by_topic(community, COMMUNITY_HOUSING), (), topic),
+            Tool("community_health", "The community site's page on health care, or a topic of it", by_topic(community, COMMUNITY_HEALTH), (), topic),
+            Tool("community_page", "A page of the community site by its path", by_path(community), ("path",)),
+            Tool("official_housing", "The official page on housing, or a topic of it", by_topic(official, OFFICIAL_HOUSING), (), topic),
+            Tool("official_health", "The official page on health care, or a topic of it", by_topic(official, OFFICIAL_HEALTH), (), topic),
+            Tool("official_scheme", "The official page on the accommodation scheme", by_topic(official, OFFICIAL_SCHEME)),
+            Tool("official_page", "An official page by its path", by_path(official), ("path",)),
+        )
+    }
+
+
 TOOLS = {
     t.name: t
     for t in (

@@ -2,8 +2,8 @@
 
 A rejected request does not count, so the next decision needs the state after the last one:
 rows are brought together by user and sorted, then folded batch by batch with a state of at
-most ``limit`` moments. A user's rows pass through one task as a stream; they are never
-held together, so a user with very many rows costs time but no memory.
+most ``limit`` moments. In batch a user's rows pass through one task as a sorted stream; they are
+never held together, so a user with very many rows costs time but no memory.
 """
 
 from __future__ import annotations
@@ -89,7 +89,8 @@ def throttle(events: DataFrame, delay: float = 2.0, per_minute: int = 10, user:
 def stream_rate_limit(events: DataFrame, limit: int = LIMIT, window: float = WINDOW_SECONDS, user: str = "user_id", ts: str = "ts", event_id: str = "event_id") -> DataFrame:
     """The same over a stream of (user, event id, time): state is the log, dropped when a user is idle for a window.
 
-    Within a micro-batch events are taken in the order of their times.
+    Within a micro-batch events are taken in the order of their times, so a user's events of one
+    micro-batch are sorted in memory; the source's limit on a micro-batch bounds them.
     """
 
     def run(key, batches, state) -> Iterator[pd.DataFrame]:
