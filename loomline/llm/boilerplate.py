@@ -43,8 +43,10 @@ from collections.abc import Iterator
 from hashlib import blake2b
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -270,22 +272,35 @@ _STREAM_TYPES = (pa.string(), pa.int64(), pa.string(), pa.bool_(), pa.int64(), p
 _STREAM_NAMES = [c.split()[0] for c in _STREAM.split(", ")]
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """The lists of a column of numbers, by one conversion of all its values."""
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    flat = column.flatten().to_numpy(zero_copy_only=False).tolist()
+    return [flat[a:b] for a, b in zip([0, *ends], ends)]
+
+
 def streams(pages: DataFrame, skip_residue_of: tuple[str, ...] = ()) -> DataFrame:
     """One row of line hashes a page with lines; ``kept`` is false for cases of problem 10 in the tables named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in _STREAM_NAMES]
+            out: list[list] = [[] for _ in range(5)]
+            ends, flat = [0], [[] for _ in range(4)]
             for rec_table, rec_id, host, text in zip(*(batch.column(c).to_pylist() for c in ("rec_table", "rec_id", "host", "text"))):
                 lines = stream(text, host) if text else None
                 if not lines:
                     continue
-                numbers, tokens, labels, styles = zip(*lines)
+                columns = tuple(zip(*lines))
+                tokens = columns[1]
+                for values, own in zip(flat, columns):
+                    values += own
+                ends.append(len(flat[0]))
                 whole = int.from_bytes(blake2b(repr(tokens).encode(), digest_size=8).digest(), "big", signed=True)
                 kept = not (rec_table in skip_residue_of and is_residue(text))
-                for column, value in zip(out, (rec_table, rec_id, host, kept, whole, numbers, tokens, labels, styles)):
+                for column, value in zip(out, (rec_table, rec_id, host, kept, whole)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _STREAM_TYPES)], _STREAM_NAMES)
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(v, t.value_type), type=t) for v, t in zip(flat, _STREAM_TYPES[5:])]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(out, _STREAM_TYPES)), *lists], _STREAM_NAMES)
 
     return spread(pages.select("rec_table", "rec_id", "host", "text")).mapInArrow(run, _STREAM)
 
@@ -395,14 +410,15 @@ def _over_pages(read: DataFrame, slots: _Slots, each, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, dict[int, list[int]]] = {}
         for batch in batches:
-            rows = []
-            columns = ("rec_table", "rec_id", "host", "kept", "line_no", "token", "label", "style", "places", "own")
-            for rec_table, rec_id, host, kept, numbers, tokens, labels, styles, places, own in zip(*(batch.column(c).to_pylist() for c in columns)):
+            rows, places = [], batch.column("places")
+            plain = (batch.column(c).to_pylist() for c in ("rec_table", "rec_id", "host", "kept", "own"))
+            lists = (_lists(batch.column(c)) for c in ("line_no", "token", "label", "style"))
+            for k, (rec_table, rec_id, host, kept, own, numbers, tokens, labels, styles) in enumerate(zip(*plain, *lists)):
                 at = known.get(host)
                 if at is None:
                     if len(known) > 10_000:
                         known.clear()
-                    at = known[host] = places_of(places or [])
+                    at = known[host] = places_of(places[k].as_py() or [])
                 aligned, found = furniture(tokens, labels, styles, at, shared.value if shared else dict(own) if own else None)
                 rows.append((rec_table, rec_id, kept, numbers, tokens, labels, aligned, found, styles))
             out: list[list] = [[] for _ in names]
@@ -423,12 +439,15 @@ def _resolve(read: DataFrame, slots: _Slots, kinds: tuple[int, ...]) -> DataFram
     """(hash, kinds) of the slots of some kinds, from counts over all pages."""
 
     def count(rows: list[tuple], out: list[list]) -> None:
-        seen: dict[tuple[int, int], list[int]] = {}
+        seen: tuple[dict[int, list[int]], ...] = ({}, {}, {})
 
         def add(kind: int, name: int, yes: bool) -> None:
-            n = seen.setdefault((kind, name), [0, 0])
-            n[0] += 1
-            n[1] += yes
+            n = seen[kind].get(name)
+            if n is None:
+                seen[kind][name] = [1, int(yes)]
+            else:
+                n[0] += 1
+                n[1] += yes
 
         for _, _, _, _, tokens, labels, aligned, found, styles in rows:
             first = next((k for k in range(len(tokens)) if k not in found), None)  # where the page's title stands
@@ -442,9 +461,11 @@ def _resolve(read: DataFrame, slots: _Slots, kinds: tuple[int, ...]) -> DataFram
                         add(LINE, t, beside)
                     if LABEL in kinds and labels[k] and (k != first or labels[k] & 1):
                         add(LABEL, labels[k], beside)
-        for (kind, name), (n, yes) in seen.items():
-            for column, value in zip(out, (kind, name, n, yes)):
-                column.append(value)
+        for kind, counts in enumerate(seen):
+            out[0] += [kind] * len(counts)
+            out[1] += counts
+            out[2] += [n for n, _ in counts.values()]
+            out[3] += [yes for _, yes in counts.values()]
 
     counts = _over_pages(read, slots, count, "kind int, hash bigint, n bigint, yes bigint").groupBy("kind", "hash").agg(F.sum("n").alias("n"), F.sum("yes").alias("yes"))
     n, yes = F.col("n").cast("double"), F.col("yes").cast("double")

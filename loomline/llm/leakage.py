@@ -74,17 +74,22 @@ def _codes(text: str) -> np.ndarray:
     return codes[_keep()[codes]]
 
 
+def _doubled(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the stretches of 4 and of SEED (8) letters, by doubling."""
+    h = codes.astype(np.uint64) * _M
+    h ^= h >> np.uint64(29)
+    h2 = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]
+    h4 = h2[:-2] * np.uint64(0xA0761D6478BD642F) + h2[2:]
+    return h4, h4[:-4] * np.uint64(0xE7037ED1A0B428DB) + h4[4:]
+
+
 def shingle_hashes(codes: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each stretch of SHINGLE letters (12 = 8 + 4, by doubling)."""
+    """A 64-bit hash of each stretch of SHINGLE letters (12 = 8 + 4)."""
     n = len(codes) - SHINGLE + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     with np.errstate(over="ignore"):
-        h = codes.astype(np.uint64) * _M
-        h ^= h >> np.uint64(29)
-        h2 = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + h[1:]
-        h4 = h2[:-2] * np.uint64(0xA0761D6478BD642F) + h2[2:]
-        h8 = h4[:-4] * np.uint64(0xE7037ED1A0B428DB) + h4[4:]
+        h4, h8 = _doubled(codes)
         out = h8[:n] * np.uint64(0x8EBC6AF09C88C6E3) + h4[8 : 8 + n]
         return out ^ (out >> np.uint64(31))
 
@@ -135,13 +140,20 @@ class Item:
             self._seeds = {}
             for k in range(len(self.text) - SEED + 1):
                 self._seeds.setdefault(self.text[k : k + SEED], []).append(k)
+            with np.errstate(over="ignore"):
+                self._seed_hashes = np.unique(_doubled(np.frombuffer(self.text.encode("utf-32-le"), np.uint32))[1])
         return self._seeds
 
     def stretches(self, doc: str) -> list[tuple[int, int, int]]:
         """(item start, document start, length) of the maximal exact stretches of at least SEED letters."""
         done: dict[int, int] = {}
         out, text, seeds = [], self.text, self.seeds
-        for p in range(len(doc) - SEED + 1):
+        if len(doc) < SEED or not seeds:
+            return out
+        with np.errstate(over="ignore"):
+            own = _doubled(np.frombuffer(doc.encode("utf-32-le"), np.uint32))[1]
+        at = np.minimum(np.searchsorted(self._seed_hashes, own), len(self._seed_hashes) - 1)
+        for p in np.flatnonzero(self._seed_hashes[at] == own).tolist():
             for a in seeds.get(doc[p : p + SEED], ()):
                 if done.get(p - a, -1) > p:
                     continue
@@ -214,6 +226,8 @@ class Item:
                     at.append(p)
                     p = part.find(word, p + 1)
             matches += [(p, k, p + b - a) for p in at]
+        if len({k for _, k, _ in matches}) < self.need - self.need // WORDS_AN_ERROR:
+            return 0, 0
         starts, ends = {(p, k) for p, k, _ in matches}, {(end, k) for _, k, end in matches}
         # a short word alone may be found by chance: no run begins or ends with it
         matches = sorted((p, k, end, end - p >= SOLID or (end, k + 1) in starts or (p, k - 1) in ends) for p, k, end in matches)
@@ -335,18 +349,30 @@ class Windows:
         if blocks.shape[1]:
             np.minimum(blocks[:, :-1], blocks[:, 1:], out=self.minima[:, :-1], where=~last[:-1])
 
-    def shingles(self, d: int) -> np.ndarray:
-        return np.sort(self.hashes[slice(*self.spans[d])])
+    def shingles(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Those of a text in order, and sorted."""
+        own = self.hashes[slice(*self.spans[d])]
+        return own, np.sort(own)
+
 
+def judged(item: Item, shingles: np.ndarray, ranked: np.ndarray, folded) -> tuple[float, int, int] | None:
+    """(containment, words in the run, errors) of an item in a document, given its shingles in order and sorted; None if no passage of it counts.
 
-def judged(item: Item, shingles: np.ndarray, folded) -> tuple[float, int, int] | None:
-    """(containment, words in the run, errors) of an item in a document, None if no passage of it counts."""
-    at = np.minimum(np.searchsorted(shingles, item.hashes), len(shingles) - 1)
-    shared = np.count_nonzero(shingles[at] == item.hashes)
-    if shared < item.least_shingles:
+    Only the parts of the document that hold enough of the item's shingles close together are aligned.
+    """
+    least = max(1, item.least_shingles)
+    at = np.minimum(np.searchsorted(ranked, item.hashes), len(ranked) - 1)
+    shared = np.count_nonzero(ranked[at] == item.hashes)
+    if shared < least:
         return None
-    n, errors = item.best_run(folded())
-    return (shared / len(item.hashes), n, errors) if n >= item.need else None
+    at = np.minimum(np.searchsorted(item.hashes, shingles), len(item.hashes) - 1)
+    held = np.flatnonzero(item.hashes[at] == shingles)
+    reach = len(item.text) + len(item.text) // 4 + REACH  # no passage spans more
+    best = (0, 0)
+    for part in np.split(held, np.flatnonzero(np.diff(held) > reach) + 1):
+        if len(part) >= least and len(np.unique(at[part])) >= least:
+            best = max(best, item.best_run(folded()[max(0, int(part[0]) - reach) : int(part[-1]) + reach]), key=lambda r: (r[0], -r[1]))
+    return (shared / len(item.hashes), *best) if best[0] >= item.need else None
 
 
 class Index:
@@ -392,7 +418,7 @@ class Index:
         for d, number in sorted(self.candidates(windows)):
             if of != d:
                 of, own = d, windows.shingles(d)
-            found = judged(self.items[number], own, lambda: text_of(d))
+            found = judged(self.items[number], *own, lambda: text_of(d))
             if found:
                 out.append((d, self.items[number].key, *found))
         if self.short:
@@ -468,7 +494,8 @@ def _by_join(docs: DataFrame, items: DataFrame, share: float, schema: str) -> Da
                 if len(known) > 2000:
                     known.clear()
                 item = known.get((k, item_text)) or known.setdefault((k, item_text), Item(k, item_text, share))
-                found = judged(item, np.sort(shingle_hashes(_codes(t))), lambda: fold(t))  # noqa: B023
+                own = shingle_hashes(_codes(t))
+                found = judged(item, own, np.sort(own), lambda: fold(t))  # noqa: B023
                 if found:
                     out.append((i, k, *found))
             yield pd.DataFrame(out, columns=["i", "item", "containment", "run_words", "errors"])
