@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from loomline.session import checkpointed, spread
+from loomline.session import checkpointed, scattered, spread
 
 TYPES = ("string", "number", "boolean", "array")
 #: A field belongs to a file if so many of its records hold it.
@@ -180,9 +180,12 @@ def _sightings(records: DataFrame, pairs: DataFrame) -> DataFrame:
                 held = {path: _mark(value) for path, value in _walk(record)}
                 doc = xxh64_intdigest(payload.encode("utf-8", "replace")) - 2**63
                 for p in known:
-                    own = [(path, held[path]) for path in p["kept"] if path in held]
-                    sets = [own, *(own[k::GROUPS] for k in range(GROUPS) if len(own) >= 2 * GROUPS)]
-                    marks = {*held.values(), *(xxh64_intdigest(repr(s)) - 2**63 for s in sets if len(s) > 1)}
+                    own = [(k, held[path]) for k, path in enumerate(p["kept"]) if path in held]
+                    marks = set(held.values())
+                    if len(own) > 1:
+                        marks.add(hash(tuple(own)))  # of numbers, the same in every process
+                        if len(own) >= 2 * GROUPS:
+                            marks.update(hash(tuple(own[k::GROUPS])) for k in range(GROUPS))
                     moved = [k for k, path in enumerate(p["moved"]) if path in held]
                     for column, value in zip(out, (feed, p["pair"], p["is_new"], doc, list(marks), moved, [held[p["moved"][k]] for k in moved])):
                         column.append(value)
@@ -308,7 +311,7 @@ def correspondences(old: dict[str, str], new: dict[str, str], counts: dict[tuple
 
 def changes(records: DataFrame, counts: DataFrame | None = None) -> DataFrame:
     """(feed, file_name, change, field, old_field): what each file changed against the one before it."""
-    pairs = checkpointed(schema_pairs(field_counts(records) if counts is None else counts))
+    pairs = checkpointed(schema_pairs(checkpointed(field_counts(records)) if counts is None else counts))
     met = _agreements(checkpointed(_sightings(records, pairs))).withColumnRenamed("pair", "file_name")
     rows = pairs.join(met, ["feed", "file_name"], "left").select("feed", "file_name", F.to_json("fields").alias("fields"), F.to_json("agreements").alias("agreements"))
 
@@ -330,7 +333,8 @@ def changes(records: DataFrame, counts: DataFrame | None = None) -> DataFrame:
                 out += [(feed, name, "type_changed", p, "") for p in old if p in new and old[p] != new[p]]
             yield pd.DataFrame(out, columns=["feed", "file_name", "change", "field", "old_field"], dtype=object)
 
-    return rows.mapInPandas(run, "feed string, file_name string, change string, field string, old_field string")
+    # the flooding costs much CPU for few bytes
+    return scattered(rows, "feed", "file_name").mapInPandas(run, "feed string, file_name string, change string, field string, old_field string")
 
 
 def _groups(edges: list[tuple[str, str]], common: dict[str, int]) -> dict[str, str]:
