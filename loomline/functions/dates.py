@@ -37,3 +37,10 @@ def is_outdated(text: Column, as_of: Column, days: int = 365) -> Column:
 
 def as_of_text(as_of: Column, pattern: str = "dd.MM.yyyy") -> Column:
     return F.date_format(as_of, pattern)
+
+
+def next_weekly(moment: Column, weekday: str = "SUN", hour: int = 2) -> Column:
+    """The first such hour of the week after a moment: when a weekly run is due that last ran then."""
+    day = F.to_date(moment)
+    today = (F.date_format(day, "EEE") == weekday.capitalize()) & (F.hour(moment) < hour)
+    return (F.when(today, day).otherwise(F.next_day(day, weekday)).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour))).cast("timestamp_ntz")

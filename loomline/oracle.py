@@ -305,6 +305,16 @@ SELECT md5(url) AS cache_key, url, scraped_at, title FROM f WHERE NOT cached AND
 UNION ALL SELECT md5(url), url, scraped_at, title FROM ({_ONE_COPY}) WHERE {_FRESH} <= 31536000 AND url NOT IN (SELECT url FROM f WHERE NOT cached AND error IS NULL)""",
     "topic_paths": f"""
 SELECT doc_id, {_topic_path("category", OFFICIAL_HOUSING)} AS official_housing, '/register-with-a-gp' AS official_health, {_topic_path("category", COMMUNITY_HEALTH)} AS community_health FROM documents""",
+    "scraped_documents": f"""
+SELECT DISTINCT url, 'Page' AS title, length(url) || ' letters' AS text, {_topic(T.TOPICS_COMMUNITY)} AS topic FROM page_cache WHERE length(url) % 2 = 1""",
+    "prompts": """
+WITH d AS (SELECT doc_id, coalesce(title, '') AS q, CASE WHEN doc_id % 3 <> 0 THEN substring(text, 1, 80) END AS base, CASE WHEN doc_id % 2 = 0 THEN url END AS u FROM documents),
+c AS (SELECT doc_id, q, CASE WHEN u IS NULL THEN base ELSE CASE WHEN coalesce(base, '') <> '' THEN 'BASE' || chr(10) || base || chr(10) || chr(10) ELSE '' END ||
+  CASE WHEN u <> '' THEN 'WEB' || chr(10) || 'Джерело: ' || u || chr(10) || 'Заголовок: ' || q || chr(10) || chr(10) || u || chr(10) ELSE '' END END AS context FROM d)
+SELECT doc_id, context, CASE WHEN coalesce(context, '') <> '' THEN replace(replace('Q {query} C {context}', '{context}', context), '{query}', q) ELSE 'only ' || q END AS prompt FROM c""",
+    "next_runs": """
+WITH r AS (SELECT run_id, try_cast(run_timestamp AS TIMESTAMP) AS m FROM ingest_stats)
+SELECT run_id, strftime(CAST(m AS DATE) + CASE WHEN dayofweek(m) = 0 AND hour(m) < 2 THEN 0 ELSE 7 - dayofweek(m) END::INTEGER + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S') AS due FROM r WHERE m IS NOT NULL""",
     "tool_calls": f"""
 SELECT {_TOOL_PAGE} AS page, NULL::VARCHAR AS error FROM page_cache WHERE url = (SELECT min(url) FROM page_cache)
 UNION ALL SELECT NULL, 'Missing parameter: path' UNION ALL SELECT NULL, 'Unknown tool: none'""",

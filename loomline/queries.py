@@ -445,6 +445,24 @@ def message_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replies.select("message_id", "user_id", "status", "language", "question", "intent")
 
 
+def scraped_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The addresses of the page cache read from a canned site, those without a page left out."""
+    return pages.scrape(table(spark, sf_dir, "page_cache").select("url"), _canned, topic=lambda u: T.url_topic(u, T.TOPICS_COMMUNITY), retries=1).select("url", "title", "text", "topic")
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles as questions with the document, a page or nothing as context."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("title", F.lit("")).alias("q"), F.when(F.col("doc_id") % 3 != 0, F.substring("text", 1, 80)).alias("base"), F.when(F.col("doc_id") % 2 == 0, F.col("url")).alias("url"))
+    context = T.joined_contexts(F.col("base"), F.col("url"), F.col("q"), F.col("url"), "BASE", "WEB")
+    return docs.withColumn("context", context).select("doc_id", "context", T.prompt(F.col("q"), F.col("context"), "Q {query} C {context}", "only {query}").alias("prompt"))
+
+
+def next_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When the weekly run after each ingest run is due."""
+    moment = F.col("run_timestamp").try_cast("timestamp_ntz")
+    return table(spark, sf_dir, "ingest_stats").where(moment.isNotNull()).select("run_id", D.next_weekly(moment).cast("string").alias("due"))
+
+
 def _times(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "ingested_docs")
     pages = table(spark, sf_dir, "page_cache")
@@ -482,6 +500,7 @@ CORE = (
     ingest_statistics, run_statistics, upsert_latest, upsert_runs, vector_topk, vector_topk_filtered, vector_threshold, vector_health, retrieve_context, index_chunks,
     answer_questions, rate_limit, throttle, status_changes, gated_messages, scan_json, scan_text, scan_markdown, migrated_documents, official_pages, community_pages,
     robots_allowed, fetched_pages, cache_merged, topic_paths, tool_calls, scraped_pages, linked_pages, search_triggers, chunk_ordinals, collection_search, message_replies,
+    scraped_documents, prompts, next_runs,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (*CORE, p5_found, p5_report, p7_found, p7_table)}

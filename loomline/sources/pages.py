@@ -139,6 +139,18 @@ def fetch_pages(
     return out
 
 
+def scrape(urls: DataFrame, get: Callable[[str], str | None], profile: H.Profile = H.GENERIC, topic: Callable[[Column], Column] | None = None, **options) -> DataFrame:
+    """(url, title, text, language, description, document_date, topic): each distinct URL read and parsed; pages that fail or have no content are left out.
+
+    ``options`` are those of ``fetch``; one URL's failure leaves the others alone.
+    """
+    read = fetch(urls.where("url is not null"), get, **options).where("html is not null").withColumn("p", H.page(F.col("html"), F.col("url"), profile))
+    named = topic(F.col("url")) if topic else F.lit(None).cast("string")
+    return read.where("p.content <> ''").select(
+        "url", "p.title", F.col("p.content").alias("text"), "p.language", "p.description", F.col("p.publication_date").alias("document_date"), named.alias("topic")
+    )
+
+
 def merged_cache(cache: DataFrame, pages: DataFrame, as_of: Column, ttl: int = TTL_SECONDS) -> DataFrame:
     """The cache with newly read pages put over it, and without what has outlived the time to live; one row a key."""
     new = pages.where("not cached and error is null").withColumn("cache_key", cache_key(F.col("url"))).drop("cached", "error")
