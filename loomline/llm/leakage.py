@@ -226,7 +226,15 @@ class Item:
                     at.append(p)
                     p = part.find(word, p + 1)
             matches += [(p, k, p + b - a) for p in at]
-        if len({k for _, k, _ in matches}) < self.need - self.need // WORDS_AN_ERROR:
+        # no run has more words than the longest sequence of matches in order on both sides
+        tails: list[int] = []
+        for _, k in sorted((p, -k) for p, k, _ in matches):
+            j = bisect_left(tails, -k)
+            if j == len(tails):
+                tails.append(-k)
+            else:
+                tails[j] = -k
+        if len(tails) < self.need - self.need // WORDS_AN_ERROR:
             return 0, 0
         starts, ends = {(p, k) for p, k, _ in matches}, {(end, k) for _, k, end in matches}
         # a short word alone may be found by chance: no run begins or ends with it
