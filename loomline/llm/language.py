@@ -94,7 +94,7 @@ COMMON = {
 
 _HOST = re.compile(r"(?:https?://)?(?:[\w\-]+\.)+[a-z]{2,}(?:/\S*)?", re.IGNORECASE)
 _DOTTED = re.compile(r"\.[a-zA-Z]{2}")
-_NOT_LETTERS = re.compile(r"(?:[^\w]|[\d_])+")
+_NOT_LETTERS = re.compile(r"[\W\d_]+")
 #: One byte for each letter the five languages use; others share a byte by their code.
 _ALPHABET = "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщъыьэюяёіїєґąćęłńóśźżăâîșțşţ' "
 #: Letters of the other languages of the same script that a language does not use.
@@ -105,7 +105,7 @@ _BYTES = {ord(c): chr(0x21 + k) for k, c in enumerate(_ALPHABET)}
 #: The Ukrainian national romanization: first the letters with another form at a word's start.
 _ROMAN_FIRST = {"є": "ye", "ї": "yi", "й": "y", "ю": "yu", "я": "ya"}
 _ROMAN = dict(zip("абвгґдеєжзиіїйклмнопрстуфхцчшщьюя", "a b v h g d e ie zh z y i i i k l m n o p r s t u f kh ts ch sh shch _ iu ia".split()))
-#: Results kept by a worker, and letters of a line whose result is kept: about 60 MB.
+#: Results kept by a worker, by line and by words, and letters of a line whose result is kept: about 60 MB each.
 _KEEP, _KEEP_LETTERS = 100_000, 240
 
 
@@ -150,6 +150,7 @@ class Classifier:
         self.latin = [(lang, self._compressor(content[lang]), escapes[lang]) for lang in ("en", "pl", "ro")]
         self.latin.append(("uk", self._compressor(latin_uk), escapes["uk-latin"]))
         self.known: dict[str, tuple[str | None, float]] = {}
+        self.lines: dict[str, tuple[str | None, float, int]] = {}
 
     @staticmethod
     def _compressor(parts: list[str]) -> zstandard.ZstdCompressor:
@@ -190,12 +191,17 @@ class Classifier:
         for k, line in enumerate(text.split("\n")):
             if not line:
                 continue
-            words = letters_only(line)
-            n = len(words) - words.count(" ")
-            if not n:
-                continue
+            got = self.lines.get(line)
+            if got is None:
+                words = letters_only(line)
+                n = len(words) - words.count(" ")
+                got = (*self.classify(words), n) if n else (None, 0.0, 0)
+                if len(line) <= _KEEP_LETTERS:
+                    if len(self.lines) >= _KEEP:
+                        self.lines.clear()
+                    self.lines[line] = got
+            lang, confidence, n = got
             total += n
-            lang, confidence = self.classify(words)
             if lang:
                 lines.append((k, lang, confidence, n))
                 votes[lang] = votes.get(lang, 0) + n
